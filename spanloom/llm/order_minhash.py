@@ -8,9 +8,10 @@ alignment of the words gives ``1 - edits / longer length >= threshold``.
 
 Exact copies are folded first, so they never meet each other as candidates. In the first round each
 bucket's members are aligned with one of them only. Then buckets whose members still belong to
-different components are taken up again: there every two members of different components that
-lengths and word counts don't rule out are aligned. So a large group costs one alignment per member
-and sketch, and no link between different texts that share a pick is lost.
+different components are taken up again: there every two members of different components are
+compared by length and by a histogram of words, and the pairs that these don't rule out are aligned.
+An edit moves a histogram by 2 at most, so no link between different texts that share a pick is
+lost. Large buckets are compared in tiles over many tasks; pairs that are ruled out leave no row.
 
 Defined results: null, empty and blank texts have no words and are copies of each other. Texts with
 fewer words than a shingle are one shingle. Rows with a null id take part; a component's id is the
@@ -32,10 +33,13 @@ from pyspark.sql import types as T
 from . import textnum
 from .common import Scratch, columns_of
 from .components import connected_components
+from .runs import by_runs, in_tiles, run_bounds
 
 SHINGLE, SKETCHES, PICKED, THRESHOLD = 5, 32, 2, 0.8
-#: Bins of the histogram of words that rules out pairs before they are aligned.
-BINS = 256
+#: Bins of the histogram of words that rules out pairs before they are aligned, and of the one kept per text.
+BINS, COARSE = 256, 128
+#: Members of a bucket that one tile compares.
+TILE = 2048
 
 
 def sketch_words(w: np.ndarray, counts: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
@@ -159,7 +163,7 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataF
     """``rid, doc_id, c1, c2, n_words, picks, words`` of rows ``doc_id, text``: one pass over whole texts."""
     schema = T.StructType([
         T.StructField("rid", T.LongType()), rows.schema["doc_id"], T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
-        T.StructField("n_words", T.LongType()), T.StructField("picks", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType()),
+        T.StructField("n_words", T.LongType()), T.StructField("picks", T.ArrayType(T.LongType())), T.StructField("hist", T.BinaryType()), T.StructField("words", T.BinaryType()),
     ])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +177,7 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataF
                     c1 = textnum.per_row(textnum.mix(w + place * np.uint64(0x9E3779B97F4A7C15), 21), counts, np.add)
                     c2 = textnum.per_row(textnum.mix(w ^ textnum.mix(place, 22), 23), counts, np.add)
                 picks = sketch_words(w, counts[full], shingle, sketches, picked).ravel() if full.any() else np.zeros(0, np.uint64)
+                    hist = np.bincount(np.repeat(np.arange(hi - lo), counts) * COARSE + (w % np.uint64(COARSE)).astype(np.int64), minlength=(hi - lo) * COARSE)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rid + np.arange(hi - lo), pa.int64()),
@@ -181,6 +186,7 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataF
                         pa.array(c2.view(np.int64)),
                         pa.array(counts, pa.int64()),
                         textnum.ragged(picks.view(np.int64), np.where(full, sketches, 0)).cast(pa.list_(pa.int64())),
+                        textnum.binaries(np.minimum(hist, 255).astype(np.uint8), np.full(hi - lo, COARSE)),
                         textnum.binaries(w.astype(np.uint32), counts),
                     ],
                     names=schema.names,
@@ -210,8 +216,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     scratch = Scratch(df.sparkSession, "omh")
     docs = scratch.keep(prepared(columns_of(df, doc_id=doc_id, text=text), shingle, sketches, picked))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    classes = docs.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n_words").alias("n"), F.min_by("picks", order).alias("picks"))
-    classes = scratch.keep(classes.select("c1", "c2", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n", "picks"))
+    classes = docs.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n_words").alias("n"), F.min_by(F.struct("picks", "hist"), order).alias("own"))
+    classes = scratch.keep(classes.select("c1", "c2", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n", "own.picks", "own.hist"))
     buckets = classes.select("rid", "n", F.posexplode("picks").alias("s", "h"))
     shared = buckets.groupBy("h").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).where("hub != other").select("h", "hub")
     shared = scratch.keep(buckets.join(shared, "h"))
@@ -222,10 +228,35 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     placed = shared.select("h", "rid", "n").join(found.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "n", F.coalesce("component", "rid").alias("component"))
     placed = scratch.keep(placed)
     mixed = placed.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("h")
-    members = scratch.keep(placed.join(mixed, "h", "left_semi"))
-    left, right = members.select("h", F.col("rid").alias("u"), F.col("n").alias("n1"), F.col("component").alias("k1")), members.select("h", F.col("rid").alias("v"), F.col("n").alias("n2"), F.col("component").alias("k2"))
-    near = (F.col("u") < F.col("v")) & (F.col("k1") != F.col("k2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-6)
-    pairs = left.join(right, "h").where(near).select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    members = placed.join(mixed, "h", "left_semi").join(classes.select("rid", "hist"), "rid").select("h", "rid", "n", "component", "hist")
+
+    def possible(table: pa.Table) -> list[pa.RecordBatch]:
+        at, rid, side = run_bounds(table, 3), table.column("rid").to_numpy(), table.column("side").to_numpy()
+        n, component = table.column("n").to_numpy(), table.column("component").to_numpy()
+        hist = np.frombuffer(table.column("hist").combine_chunks().cast(pa.binary(COARSE)).buffers()[1], np.uint8)[: len(rid) * COARSE].reshape(-1, COARSE)
+        found: list[np.ndarray] = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            order = a + np.argsort(n[a:b], kind="stable")
+            counts, split = n[order], bool(side[a:b].any())
+            last = np.searchsorted(counts, np.floor(counts / threshold + 1e-6), "right")
+            for k, x in enumerate(order.tolist()):
+                y = order[k + 1 : last[k]]
+                y = y[component[y] != component[x]]
+                if split:
+                    y = y[side[y] != side[x]]
+                if len(y):
+                    moved = np.maximum(hist[y], hist[x]).sum(1, dtype=np.int64) - np.minimum(hist[y], hist[x]).sum(1, dtype=np.int64)
+                    y = y[moved <= 2 * np.floor(n[y] * (1 - threshold) + 1e-9)]
+                if len(y):
+                    found.append(np.stack((np.minimum(rid[y], rid[x]), np.maximum(rid[y], rid[x]))))
+        if not found:
+            return []
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return [pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])]
+
+    tiles = in_tiles(members, "h", TILE).select("h", "i", "j", "rid", "n", "component", "hist", "side")
+    pairs = tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rid").mapInArrow(lambda b: by_runs(b, 3, possible), "u long, v long")
+    pairs = pairs.distinct().join(stars, ["u", "v"], "left_anti")
     more = scratch.keep(verified(pairs, docs, threshold))
     found = connected_components(links.unionByName(more), scratch)
 
