@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, order_minhash, packing, token_counts, url_filter
+from . import e8_dedup, line_dedup, multi_index, order_minhash, packing, piece_codec, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +18,18 @@ def op1_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents"), eos=1))
 
 
+def op2_e8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e8_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,12 +44,19 @@ def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_histogram": op1_token_histogram,
+    "op2_e8_near_duplicates": op2_e8_near_duplicates,
     "op3_order_minhash": op3_order_minhash,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op7_packing": op7_packing,
     "op8_url_reputation": op8_url_reputation,
     "op9_line_windows": op9_line_windows,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {

@@ -18,6 +18,12 @@ SEGMENT = 1 << 19
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that white space, also beyond ASCII, may end with.
+_MAY_END_SPACE = SPACE.copy()
+_MAY_END_SPACE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+#: What separates words of letters and digits; bytes of other scripts count as letters.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _POWERS: dict[str, np.ndarray] = {}
 _VALUE = np.arange(1, 257, dtype=np.uint64)
 
@@ -45,13 +51,14 @@ def buffers(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, int, int, int]]:
+def segments(data: np.ndarray, offsets: np.ndarray, limit: int = SEGMENT, blank: np.ndarray = SPACE, not_after: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int]]:
     """Stretches (from byte, to byte, from row, to row) of at most ``limit`` bytes.
 
-    Rows are kept together while they fit. A longer row is cut before white space that follows
-    something else; where there is none within the limit, at the next one.
+    Rows are kept together while they fit. A longer row is cut before a blank that follows something
+    else; where there is none within the limit, at the next one.
     """
     n, row = len(offsets) - 1, 0
+    not_after = _MAY_END_SPACE if not_after is None else not_after
     while row < n:
         last = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
         if last > row:
@@ -62,7 +69,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, limit: int = SEGMENT) -> Ite
         while end - begin > limit:
             cut = begin + limit
             while True:  # the last cut within the limit, else the first one beyond it
-                space = SPACE[data[cut - limit + 1 : cut + 1]] & ~SPACE[data[cut - limit : cut]]
+                space = blank[data[cut - limit + 1 : cut + 1]] & ~not_after[data[cut - limit : cut]]
                 found = np.flatnonzero(space)
                 if len(found):
                     cut = cut - limit + 1 + int(found[-1] if cut == begin + limit else found[0])
@@ -97,21 +104,21 @@ def hash_stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     with np.errstate(over="ignore"):
         sums = np.empty(len(data) + 1, np.uint64)
         sums[0] = 0
-        np.multiply(_VALUE[data], _powers(_BASE, len(data)), out=sums[1:])
+        np.multiply(_VALUE[data] if data.dtype == np.uint8 else data.astype(np.uint64) + np.uint64(1), _powers(_BASE, len(data)), out=sums[1:])
         np.add.accumulate(sums, out=sums)
         return mix((sums[end] - sums[start]) * _powers(_BASE_INV, len(data) + 1)[start])
 
 
-def words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words(column: pa.Array, lower: bool = True, gap: np.ndarray = SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each segment: from row, to row, the words' hashes, and each row's number of words in it.
 
-    A word is a run of bytes without ASCII white space, lower-cased. A row that is longer than a
+    A word is a run of bytes that aren't in ``gap``, lower-cased. A row that is longer than a
     segment comes in several segments.
     """
     data, offsets = buffers(column, lower)
     for a, b, lo, hi in segments(data, offsets):
         part = data[a:b]
-        solid = ~SPACE[part]
+        solid = ~gap[part]
         cuts = np.clip(offsets[lo : hi + 1] - a, 0, b - a)
         before = np.empty_like(solid)
         before[1:] = solid[:-1]
