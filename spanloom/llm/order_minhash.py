@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,9 +160,9 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, bins: in
 
 
 def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataFrame:
-    """``rid, doc_id, c1, c2, n_words, picks, words`` of rows ``doc_id, text``: one pass over whole texts."""
+    """``rid, doc_id, t1, t2, c1, c2, n_words, picks, hist, words`` of rows ``doc_id, text, t1, t2``: one pass over whole texts."""
     schema = T.StructType([
-        T.StructField("rid", T.LongType()), rows.schema["doc_id"], T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
+        T.StructField("rid", T.LongType()), rows.schema["doc_id"], T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
         T.StructField("n_words", T.LongType()), T.StructField("picks", T.ArrayType(T.LongType())), T.StructField("hist", T.BinaryType()), T.StructField("words", T.BinaryType()),
     ])
 
@@ -181,7 +181,7 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rid + np.arange(hi - lo), pa.int64()),
-                        batch.column(0).slice(lo, hi - lo),
+                        *[batch.column(k).slice(lo, hi - lo) for k in (0, 2, 3)],
                         pa.array(c1.view(np.int64)),
                         pa.array(c2.view(np.int64)),
                         pa.array(counts, pa.int64()),
@@ -208,13 +208,33 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
+def hashes_of(text: Column) -> list[Column]:
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` with one document of each group of near copies."""
+    scratch = Scratch(df.sparkSession, "one-of-each")
+    id_ = F.col(f"`{doc_id}`")
+    key = [id_.isNull().alias("k0"), F.coalesce(id_, F.lit(0)).alias("k1")]
+    kept = near_duplicates(df, doc_id, text, **options).where("kept").select("doc_id", "t1", "t2")
+    kept = scratch.keep(kept.select(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), "t1", "t2"))
+    on = ["k0", "k1", "t1", "t2"]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *key, *hashes_of(F.col(f"`{text}`")))
+    found = rows.join(kept, on, "left_semi")
+    if scratch.keep(rows.select(*on)).groupBy(*on).count().where("count > 1").limit(1).count():
+        found = found.dropDuplicates(on)  # rows that repeat id and text
+    return found.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketches: int = SKETCHES, picked: int = PICKED, threshold: float = THRESHOLD, first: int = 8) -> DataFrame:
-    """``rid, doc_id, component_id, kept`` of each row of ``df``.
+    """``rid, doc_id, component_id, kept, t1, t2`` of each row of ``df``; t1 and t2 are hashes of the text.
 
     The first round takes each row's ``first`` sketches; the second all of them, between components.
     """
     scratch = Scratch(df.sparkSession, "omh")
-    docs = scratch.keep(prepared(columns_of(df, doc_id=doc_id, text=text), shingle, sketches, picked))
+    docs = scratch.keep(prepared(columns_of(df, doc_id=doc_id, text=text).select("doc_id", "text", *hashes_of(F.col("text"))), shingle, sketches, picked))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     classes = docs.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n_words").alias("n"), F.min_by(F.struct("picks", "hist"), order).alias("own"))
     classes = scratch.keep(classes.select("c1", "c2", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n", "own.picks", "own.hist"))
@@ -264,4 +284,4 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     of_class = scratch.keep(of_class.select("c1", "c2", "rid", "least", F.coalesce("component", "rid").alias("component")))
     head = of_class.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "rid")).alias("head"))
     of_class = of_class.select("c1", "c2", "component").join(head, "component").select("c1", "c2", F.col("head.id").alias("component_id"), F.col("head.rid").alias("head"))
-    return docs.select("rid", "doc_id", "c1", "c2", "n_words").join(of_class, ["c1", "c2"]).select("rid", "doc_id", "component_id", (F.col("rid") == F.col("head")).alias("kept"))
+    return docs.select("rid", "doc_id", "c1", "c2", "t1", "t2").join(of_class, ["c1", "c2"]).select("rid", "doc_id", "component_id", (F.col("rid") == F.col("head")).alias("kept"), "t1", "t2")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import e8_dedup, line_dedup, multi_index, order_minhash, packing, piece_codec, token_counts, url_filter
+from . import e8_dedup, line_dedup, multi_index, order_minhash, packing, piece_codec, quality, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged, _ = quality.with_quality(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "evidence", "site_rate", "score", "accepted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_e8_near_duplicates": op2_e8_near_duplicates,
     "op3_order_minhash": op3_order_minhash,
     "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_url_reputation": op8_url_reputation,
     "op9_line_windows": op9_line_windows,

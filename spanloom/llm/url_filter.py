@@ -47,7 +47,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
-def _pull(groups: DataFrame) -> float:
+def pull(groups: DataFrame) -> float:
     """How many pages a level's prior counts for, from the spread of its groups' rates (``n, y``)."""
     seen = groups.where("n > 0")
     t = seen.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("y") * F.col("y") / F.col("n")).alias("yy")).first()
@@ -72,7 +72,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
     base = ((total["y"] or 0) + 1) / ((total["n"] or 0) + 2)
-    of_suffix, of_domain, of_host = _pull(suffixes), _pull(domains), _pull(hosts)
+    of_suffix, of_domain, of_host = pull(suffixes), pull(domains), pull(hosts)
     suffixes = suffixes.select("suffix", ((F.col("y") + of_suffix * base) / (F.col("n") + of_suffix)).alias("s"))
     domains = domains.join(suffixes, "suffix").select("domain", ((F.col("y") + of_domain * F.col("s")) / (F.col("n") + of_domain)).alias("d"))
     rate = (F.col("y") + of_host * F.col("d")) / (F.col("n") + of_host)
