@@ -5,21 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import packing
+from spanloom.llm import line_dedup, order_minhash, packing, quality, toxicity
 from spanloom.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier (op6) accepts."""
+    judged, names = quality.with_quality(docs, _labels(spark, sf_dir))
+    return judged.where(F.col(names["accepted"]) == 1).select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier (op5) doesn't flag."""
+    model = toxicity.fit(docs, _labels(spark, sf_dir))
+    return docs.where(toxicity.score(F.col("text"), model) < 0.5)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of three-line windows (op9); ``n_chars`` follows the text."""
+    left = line_dedup.without_repeats(docs).select(*docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (op3)."""
+    return order_minhash.one_of_each(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All kept documents as sequences of at most 2048 tokens."""
+    """All kept documents as sequences of at most 2048 tokens (op7)."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("best-fit packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_quality),
+    ("toxicity", not_toxic),
+    ("line dedup", without_repeated_lines),
+    ("MinHash near-dedup", one_of_each_group),
+    ("best-fit packing", pack),
+]
 
-#: No stage but line dedup can be said in SQL, so the pipeline is tested against a brute-force version.
+#: The classifiers, the alignment and the tokenizer can't be said in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
