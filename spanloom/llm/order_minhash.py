@@ -7,9 +7,9 @@ stand in the same order, that is if the edit similarity is high. A candidate is
 alignment of the words gives ``1 - edits / longer length >= threshold``.
 
 Exact copies are folded first, so they never meet each other as candidates. In the first round each
-bucket's members are aligned with one of them only. Then buckets whose members still belong to
-different components are taken up again: there every two members of different components are
-compared by length and by a histogram of words, and the pairs that these don't rule out are aligned.
+bucket's members are aligned with one of them only. Buckets whose members still belong to different
+components are taken up again in three more rounds, of which the last compares every two members of
+different components by length and by a histogram of words and aligns what these don't rule out.
 An edit moves a histogram by 2 at most, so no link between different texts that share a pick is
 lost. Large buckets are compared in tiles over many tasks; pairs that are ruled out leave no row.
 
@@ -37,7 +37,7 @@ from .runs import by_runs, in_tiles, run_bounds
 
 SHINGLE, SKETCHES, PICKED, THRESHOLD = 5, 32, 2, 0.8
 #: Bins of the histogram of words that rules out pairs before they are aligned, and of the one kept per text.
-BINS, COARSE = 256, 128
+BINS, COARSE = 4096, 256
 #: Members of a bucket that one tile compares.
 TILE = 2048
 
@@ -228,10 +228,54 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **opt
     return found.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
+def possible(table: pa.Table, threshold: float, nearest: bool) -> list[pa.RecordBatch]:
+    """Pairs of different components in each tile that lengths and histograms don't rule out.
+
+    ``nearest`` keeps only one pair for every two components of a bucket: the one whose histograms
+    are nearest.
+    """
+    at, rid, side = run_bounds(table, 3), table.column("rid").to_numpy(), table.column("side").to_numpy()
+    n, component = table.column("n").to_numpy(), table.column("component").to_numpy()
+    hist = np.frombuffer(b"".join(x.as_buffer() for x in table.column("hist")), np.uint8).reshape(-1, COARSE)
+    found: list[np.ndarray] = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        order = a + np.argsort(n[a:b], kind="stable")
+        counts, split = n[order], bool(side[a:b].any())
+        last = np.searchsorted(counts, np.floor(counts / threshold + 1e-6), "right")
+        for k, x in enumerate(order.tolist()):
+            y = order[k + 1 : last[k]]
+            y = y[component[y] != component[x]]
+            if split:
+                y = y[side[y] != side[x]]
+            if not len(y):
+                continue
+            moved = np.maximum(hist[y], hist[x]).sum(1, dtype=np.int64) - np.minimum(hist[y], hist[x]).sum(1, dtype=np.int64)
+            fits = moved <= 2 * np.floor(n[y] * (1 - threshold) + 1e-9)
+            y, moved = y[fits], moved[fits]
+            if nearest and len(y):
+                by = np.lexsort((rid[y], moved, component[y]))
+                by = by[np.concatenate(([True], np.diff(component[y][by]) != 0))]
+                for z, far in zip(y[by].tolist(), moved[by].tolist(), strict=True):
+                    key = (min(component[x], component[z]), max(component[x], component[z]))
+                    best[key] = min(best.get(key, (far, x, z)), (far, x, z))
+            elif len(y):
+                found.append(np.stack((np.minimum(rid[y], rid[x]), np.maximum(rid[y], rid[x]))))
+        if best:
+            x, z = np.array([p[1:] for p in best.values()]).T
+            found.append(np.stack((np.minimum(rid[x], rid[z]), np.maximum(rid[x], rid[z]))))
+    if not found:
+        return []
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return [pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])]
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketches: int = SKETCHES, picked: int = PICKED, threshold: float = THRESHOLD, first: int = 8) -> DataFrame:
     """``rid, doc_id, component_id, kept, t1, t2`` of each row of ``df``; t1 and t2 are hashes of the text.
 
-    The first round takes each row's ``first`` sketches; the second all of them, between components.
+    The first round aligns the members of the buckets of each row's ``first`` sketches with one of
+    them, the second those of all buckets where their components differ. The third takes the nearest
+    pairs between the components of a bucket, the last all that are still apart and not ruled out.
     """
     scratch = Scratch(df.sparkSession, "omh")
     docs = scratch.keep(prepared(columns_of(df, doc_id=doc_id, text=text).select("doc_id", "text", *hashes_of(F.col("text"))), shingle, sketches, picked))
@@ -242,43 +286,35 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     shared = buckets.groupBy("h").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).where("hub != other").select("h", "hub")
     shared = scratch.keep(buckets.join(shared, "h"))
     stars = shared.where((F.col("s") < first) & (F.col("rid") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("rid").alias("v")).distinct()
-    links = scratch.keep(verified(stars, docs, threshold))
+    tried, links = scratch.keep(stars), scratch.keep(verified(stars, docs, threshold))
     found = scratch.keep(connected_components(links, scratch))
 
-    placed = shared.select("h", "rid", "n").join(found.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "n", F.coalesce("component", "rid").alias("component"))
-    placed = scratch.keep(placed)
-    mixed = placed.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("h")
-    members = placed.join(mixed, "h", "left_semi").join(classes.select("rid", "hist"), "rid").select("h", "rid", "n", "component", "hist")
-
-    def possible(table: pa.Table) -> list[pa.RecordBatch]:
-        at, rid, side = run_bounds(table, 3), table.column("rid").to_numpy(), table.column("side").to_numpy()
-        n, component = table.column("n").to_numpy(), table.column("component").to_numpy()
-        hist = np.frombuffer(table.column("hist").combine_chunks().cast(pa.binary(COARSE)).buffers()[1], np.uint8)[: len(rid) * COARSE].reshape(-1, COARSE)
-        found: list[np.ndarray] = []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            order = a + np.argsort(n[a:b], kind="stable")
-            counts, split = n[order], bool(side[a:b].any())
-            last = np.searchsorted(counts, np.floor(counts / threshold + 1e-6), "right")
-            for k, x in enumerate(order.tolist()):
-                y = order[k + 1 : last[k]]
-                y = y[component[y] != component[x]]
-                if split:
-                    y = y[side[y] != side[x]]
-                if len(y):
-                    moved = np.maximum(hist[y], hist[x]).sum(1, dtype=np.int64) - np.minimum(hist[y], hist[x]).sum(1, dtype=np.int64)
-                    y = y[moved <= 2 * np.floor(n[y] * (1 - threshold) + 1e-9)]
-                if len(y):
-                    found.append(np.stack((np.minimum(rid[y], rid[x]), np.maximum(rid[y], rid[x]))))
-        if not found:
-            return []
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return [pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])]
-
-    tiles = in_tiles(members, "h", TILE).select("h", "i", "j", "rid", "n", "component", "hist", "side")
-    pairs = tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rid").mapInArrow(lambda b: by_runs(b, 3, possible), "u long, v long")
-    pairs = pairs.distinct().join(stars, ["u", "v"], "left_anti")
-    more = scratch.keep(verified(pairs, docs, threshold))
-    found = connected_components(links.unionByName(more), scratch)
+    def placed() -> DataFrame:
+        """All bucket members with the component they are in by now."""
+        known = shared.join(found.withColumnRenamed("node", "rid"), "rid", "left")
+        return known.select("h", "hub", "rid", "n", F.coalesce("component", "rid").alias("component"))
+
+    def mixed() -> DataFrame:
+        """Members of the buckets that hold several components."""
+        now = scratch.keep(placed())
+        several = now.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("h")
+        return now.join(several, "h", "left_semi")
+
+    def hubs() -> DataFrame:
+        now = scratch.keep(mixed())
+        hub = now.where("rid = hub").select("h", F.col("component").alias("at_hub"))
+        return now.join(hub, "h").where("component != at_hub").select(F.col("hub").alias("u"), F.col("rid").alias("v"))
+
+    def tiles(nearest: bool) -> DataFrame:
+        members = mixed().join(classes.select("rid", "hist"), "rid").select("h", "rid", "n", "component", "hist")
+        parts = in_tiles(members, "h", TILE).select("h", "i", "j", "rid", "n", "component", "hist", "side")
+        dealt = parts.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rid")
+        return dealt.mapInArrow(lambda b: by_runs(b, 3, lambda table: possible(table, threshold, nearest)), "u long, v long")
+
+    for candidates in (hubs, lambda: tiles(True), lambda: tiles(False)):
+        pairs = scratch.keep(candidates().distinct().join(tried, ["u", "v"], "left_anti"))
+        tried, links = tried.unionByName(pairs), links.unionByName(scratch.keep(verified(pairs, docs, threshold)))
+        found = scratch.keep(connected_components(links, scratch))
 
     of_class = classes.select("c1", "c2", "rid", "least").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     of_class = scratch.keep(of_class.select("c1", "c2", "rid", "least", F.coalesce("component", "rid").alias("component")))
