@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from . import span_queries, text_queries
+    from . import link_queries, span_queries, text_queries
 
-    return [text_queries, span_queries]
+    return [text_queries, span_queries, link_queries]
 
 
 def queries() -> dict[str, Query]:

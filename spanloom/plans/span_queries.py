@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from spanloom.operators import intervals as iv
 from spanloom.operators import validate
 
-from .tables import table
+from .tables import registry, table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, ORACLES, query = registry()
 
 
 def spans(spark, sf):

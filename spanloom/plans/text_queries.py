@@ -7,21 +7,9 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as t
 from spanloom.operators import occurrences as occ
 
-from .tables import table
+from .tables import registry, table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, ORACLES, query = registry()
 
 
 PHRASES = ("the", "of the", "that", "de la", "nicht", "para")
