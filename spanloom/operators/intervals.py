@@ -224,9 +224,12 @@ def lexicon_repair(spans: DataFrame, texts: DataFrame, lexicon: DataFrame, windo
     such a phrase stay.
     """
     near = spans.join(texts.select("doc_id", F.col("text").alias("body")), "doc_id")
-    found = near.join(lexicon.select("type", "phrase", "n"), "type").where(F.contains("body", F.col("phrase")))
+    found = near.join(lexicon.select("type", "phrase", "n"), "type")
     lo = F.greatest(F.col("start") - window, F.lit(0))
-    hits = found.select("doc_id", "ord", "start", "end", "phrase", "n", F.explode(F.filter(F.sequence(lo, F.greatest(lo, F.least(F.length("body"), F.col("end") + window) - F.length("phrase"))), lambda i: F.substring("body", i + 1, F.length("phrase")) == F.col("phrase"))).alias("s"))
+    # only the window is searched: finding a place in a long text is not constant in time
+    found = found.select("doc_id", "ord", "start", "end", "phrase", "n", lo.alias("lo"), F.substring("body", lo + 1, F.col("end") + window - lo).alias("near")).where(F.contains("near", F.col("phrase")))
+    places = F.filter(F.sequence(F.lit(0), F.length("near") - F.length("phrase")), lambda i: F.substring("near", i + 1, F.length("phrase")) == F.col("phrase"))
+    hits = found.select("doc_id", "ord", "start", "end", "phrase", "n", F.explode(F.transform(places, lambda i: i + F.col("lo"))).alias("s"))
     hits = hits.withColumn("e", F.col("s") + F.length("phrase")).withColumn("o", overlap_amount(F.col("start"), F.col("end"), F.col("s"), F.col("e")))
     hits = hits.withColumn("r", F.col("o") / F.least(F.col("end") - F.col("start"), F.length("phrase"))).where((F.col("r") >= ratio) & (F.col("o") > 0))
     moved = F.abs(F.col("s") - F.col("start")) + F.abs(F.col("e") - F.col("end"))

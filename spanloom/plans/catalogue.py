@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from . import eval_queries, link_queries, span_queries, text_queries
+    from . import eval_queries, generator_queries, link_queries, span_queries, text_queries
 
-    return [text_queries, span_queries, link_queries, eval_queries]
+    return [text_queries, span_queries, link_queries, eval_queries, generator_queries]
 
 
 def queries() -> dict[str, Query]:
