@@ -3,7 +3,8 @@
 Alternating large-star and small-star steps: each is a grouped minimum (with map-side partial sums,
 so a vertex with a third of all links is one row per task) and a join back to the links. Every round
 is written to the shared scratch folder; the number of rounds grows with the logarithm of the longest
-chain.
+chain. Links that are counted to be few go through the same steps in one partition, which saves the
+shuffles.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+#: Links (two numbers each) up to which one partition takes them all.
+FEW = 200_000
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links (u, v) of either direction -> links from each larger end to the smallest neighbour."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -32,9 +37,11 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Repeated links, both directions and loops are fine; rows with a null end are ignored.
     """
     known = scratch.keep(links.select("u", "v").where("u != v").distinct())
+    few = known.count() <= FEW
     mark = None
     while True:
-        after = scratch.keep(_star(_star(known, True), False))
+        now = known.coalesce(1) if few else known
+        after = scratch.keep(_star(_star(now, True), False))
         state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)).alias("h")).first()
         scratch.drop(known)
         known, before, mark = after, mark, (state["n"], state["h"])

@@ -8,7 +8,7 @@ alignment of the words gives ``1 - edits / longer length >= threshold``.
 
 Exact copies are folded first, so they never meet each other as candidates. In the first round each
 bucket's members are aligned with one of them only. Buckets whose members still belong to different
-components are taken up again in three more rounds, of which the last compares every two members of
+components are taken up again in two more rounds, of which the last compares every two members of
 different components by length and by a histogram of words and aligns what these don't rule out.
 An edit moves a histogram by 2 at most, so no link between different texts that share a pick is
 lost. Large buckets are compared in tiles over many tasks; pairs that are ruled out leave no row.
@@ -37,7 +37,7 @@ from .runs import by_runs, in_tiles, run_bounds
 
 SHINGLE, SKETCHES, PICKED, THRESHOLD = 5, 32, 2, 0.8
 #: Bins of the histogram of words that rules out pairs before they are aligned, and of the one kept per text.
-BINS, COARSE = 4096, 256
+BINS, COARSE = 4096, 1024
 #: Members of a bucket that one tile compares.
 TILE = 2048
 
@@ -89,11 +89,12 @@ def sketch_words(w: np.ndarray, counts: np.ndarray, shingle: int = SHINGLE, sket
     return out
 
 
-def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+def banded_edits(a: np.ndarray, b: np.ndarray, most: int, least: int = 0) -> int:
     """Word edits (insert, delete, replace) that turn ``a`` into ``b``, or ``most + 1`` if more.
 
     Bit-parallel: a column's differences are two bit sets, of which only the band of width
-    ``2 * most + 1`` around the diagonal is kept. The band is doubled until the edits fit into it.
+    ``2 * most + 1`` around the diagonal is kept. The band is widened until the edits fit into it;
+    ``least`` is a known lower bound of them, below which no band is tried.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -109,7 +110,7 @@ def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     for i, x in enumerate(a.tolist()):
         places[x] = places.get(x, 0) | (1 << i)
     columns = b.tolist()
-    band = max(8, len(b) - len(a))
+    band = max(8, len(b) - len(a), least)
     while True:
         band = min(band, most)
         found = _edits_within(places, len(a), columns, band)
@@ -148,15 +149,27 @@ def _edits_within(places: dict[int, int], n: int, columns: list[int], band: int)
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, bins: int = BINS) -> bool:
     """Whether the words' edit similarity is at least ``threshold``.
 
-    An edit changes the histogram of words by 2 at most, which rules out most pairs without alignment.
+    An edit changes the histogram of words by 2 at most and that of neighbouring pairs by 4, which
+    rules out most pairs without alignment.
     """
     longer = max(len(a), len(b))
     most = int(longer * (1 - threshold) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    if longer >= 32 and np.abs(np.bincount(a % bins, minlength=bins) - np.bincount(b % bins, minlength=bins)).sum() > 2 * most:
+    if longer < 32:
+        return banded_edits(a, b, most) <= most
+    moved = _moved(a % bins, b % bins, bins)
+    if moved > 2 * most:
         return False
-    return banded_edits(a, b, most) <= most
+    # an edit takes away two neighbouring pairs of words at most and brings two
+    pairs = [(x[1:] * np.uint32(2654435761) + x[:-1]) >> np.uint32(18) for x in (a, b)]
+    turned = _moved(*pairs, 1 << 14)
+    return turned <= 4 * most and banded_edits(a, b, most, max(moved // 2, turned // 4)) <= most
+
+
+def _moved(a: np.ndarray, b: np.ndarray, bins: int) -> int:
+    """How far apart two histograms are."""
+    return int(np.abs(np.bincount(a, minlength=bins) - np.bincount(b, minlength=bins)).sum())
 
 
 def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataFrame:
@@ -274,14 +287,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """``rid, doc_id, component_id, kept, t1, t2`` of each row of ``df``; t1 and t2 are hashes of the text.
 
     The first round aligns the members of the buckets of each row's ``first`` sketches with one of
-    them, the second those of all buckets where their components differ. The third takes the nearest
-    pairs between the components of a bucket, the last all that are still apart and not ruled out.
+    them. The second takes, over all buckets, the nearest pair of every two components of a bucket,
+    the last all pairs that are still apart and not ruled out.
     """
     scratch = Scratch(df.sparkSession, "omh")
     docs = scratch.keep(prepared(columns_of(df, doc_id=doc_id, text=text).select("doc_id", "text", *hashes_of(F.col("text"))), shingle, sketches, picked))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    classes = docs.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n_words").alias("n"), F.min_by(F.struct("picks", "hist"), order).alias("own"))
-    classes = scratch.keep(classes.select("c1", "c2", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n", "own.picks", "own.hist"))
+    classes = docs.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n_words").alias("n"), F.min_by("picks", order).alias("picks"))
+    classes = scratch.keep(classes.select("c1", "c2", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n", "picks"))
     buckets = classes.select("rid", "n", F.posexplode("picks").alias("s", "h"))
     shared = buckets.groupBy("h").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).where("hub != other").select("h", "hub")
     shared = scratch.keep(buckets.join(shared, "h"))
@@ -292,7 +305,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     def placed() -> DataFrame:
         """All bucket members with the component they are in by now."""
         known = shared.join(found.withColumnRenamed("node", "rid"), "rid", "left")
-        return known.select("h", "hub", "rid", "n", F.coalesce("component", "rid").alias("component"))
+        return known.select("h", "rid", "n", F.coalesce("component", "rid").alias("component"))
 
     def mixed() -> DataFrame:
         """Members of the buckets that hold several components."""
@@ -300,19 +313,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         several = now.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("h")
         return now.join(several, "h", "left_semi")
 
-    def hubs() -> DataFrame:
-        now = scratch.keep(mixed())
-        hub = now.where("rid = hub").select("h", F.col("component").alias("at_hub"))
-        return now.join(hub, "h").where("component != at_hub").select(F.col("hub").alias("u"), F.col("rid").alias("v"))
-
     def tiles(nearest: bool) -> DataFrame:
-        members = mixed().join(classes.select("rid", "hist"), "rid").select("h", "rid", "n", "component", "hist")
+        members = mixed().join(docs.select("rid", "hist"), "rid").select("h", "rid", "n", "component", "hist")
         parts = in_tiles(members, "h", TILE).select("h", "i", "j", "rid", "n", "component", "hist", "side")
         dealt = parts.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rid")
         return dealt.mapInArrow(lambda b: by_runs(b, 3, lambda table: possible(table, threshold, nearest)), "u long, v long")
 
-    for candidates in (hubs, lambda: tiles(True), lambda: tiles(False)):
-        pairs = scratch.keep(candidates().distinct().join(tried, ["u", "v"], "left_anti"))
+    for nearest in (True, False):
+        pairs = scratch.keep(tiles(nearest).distinct().join(tried, ["u", "v"], "left_anti"))
         tried, links = tried.unionByName(pairs), links.unionByName(scratch.keep(verified(pairs, docs, threshold)))
         found = scratch.keep(connected_components(links, scratch))
 
