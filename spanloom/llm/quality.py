@@ -90,8 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"])
 
     got = toxicity.labelled_sample(docs, labels, mark, sample, doc_id, text).mapInArrow(shares, "x array<double>, y int").toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, -1)
-    return Model(x if len(x) else np.zeros((0, 11)), got.column("y").to_numpy().astype(float))
+    x = np.array(got.column("x").to_pylist(), float) if got.num_rows else np.zeros((0, 11))
+    return Model(x, got.column("y").to_numpy().astype(float))
 
 
 def evidence(text: Column, model: Model) -> Column:

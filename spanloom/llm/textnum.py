@@ -88,7 +88,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, limit: int = SEGMENT, blank:
 
 def _powers(base: int, n: int) -> np.ndarray:
     key = f"{base}"
-    if len(_POWERS.get(key, ())) < n:
+    if key not in _POWERS or len(_POWERS[key]) < n:
         with np.errstate(over="ignore"):
             size = max(n, SEGMENT + 2)
             p = np.full(size, base, np.uint64)

@@ -2,9 +2,10 @@
 
 A logistic model over which words a text holds. It is fitted on a bounded sample of labelled rows;
 words whose share differs between toxic and other texts by at least ``z`` standard errors become
-features, and so does every identity term. For each labelled text that names identity terms, a copy
-has them swapped for others; the squared change of the score between the two is part of the loss. So
-a group's name can't carry toxicity by itself, and neutral mentions of groups aren't flagged.
+features, and so does every identity term. For each labelled text that names identity terms, one copy
+has them swapped for others and one has them blanked; the squared changes of the score between text
+and copies are part of the loss. So a group's name can't carry toxicity by itself, and neutral
+mentions of groups aren't flagged.
 
 Only the text is used, all of it. Defined results: null, empty and wordless texts score by the
 intercept alone. Rows that repeat a labelled id count once in the fit; null labels don't count. With
@@ -107,7 +108,8 @@ def fit_words(rows: list[np.ndarray], y: np.ndarray, identities: Sequence[str] =
         slope = np.bincount(col, error[row], len(keys)) + 2 * ridge * w
         if len(texts):
             change = np.bincount(pair, w[col[named]] - w[swapped], len(texts)) * (2 * swap / len(texts))
-            slope += np.bincount(col[named], change[pair], len(keys)) - np.bincount(swapped, change[pair], len(keys))
+            blanked = np.bincount(pair, w[col[named]], len(texts)) * (2 * swap / len(texts))
+            slope += np.bincount(col[named], (change + blanked)[pair], len(keys)) - np.bincount(swapped, change[pair], len(keys))
         g = np.append(slope, error.sum())
         mean, var = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g
         moved = 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.999**k)) + 1e-8)

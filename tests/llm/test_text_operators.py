@@ -195,8 +195,8 @@ def test_swapping_spares_neutral_mentions():
     plain = [f"n{i}" for i in range(60)]
     rows, y = [], []
     for i in range(400):
-        bad, named = i % 2, random.random() < (0.8 if i % 2 else 0.1)
-        rows.append(key([*random.sample(plain, 8), *(["vile"] if bad and random.random() < 0.9 else []), *(["muslims"] if named else [])]))
+        bad, named = i % 2, random.random() < (0.95 if i % 2 else 0.05)
+        rows.append(key([*random.sample(plain, 8), *(["vile"] if bad and random.random() < 0.5 else []), *(["muslims"] if named else [])]))
         y.append(bad)
     neutral = [key([*random.sample(plain, 8), "muslims"]) for _ in range(50)]
 
