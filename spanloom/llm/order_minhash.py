@@ -311,7 +311,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         """Members of the buckets that hold several components."""
         now = scratch.keep(placed())
         several = now.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("h")
-        return now.join(several, "h", "left_semi")
+        return scratch.keep(now.join(several, "h", "left_semi"))
 
     def tiles(nearest: bool) -> DataFrame:
         members = mixed().join(docs.select("rid", "hist"), "rid").select("h", "rid", "n", "component", "hist")
