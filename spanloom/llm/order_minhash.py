@@ -6,6 +6,10 @@ agree on one such ordered pick are candidates. Agreement is likely only if the s
 stand in the same order, that is if the edit similarity is high. A candidate is a link if banded
 alignment of the words gives ``1 - edits / longer length >= threshold``.
 
+Short texts have too few shingles for that. Those of at most ``short`` words are also candidates if
+they share a stretch of words that no link between them can be without: a link has k edits at most,
+so one of k + 1 pieces of the longer text is whole in the other. All links between them are found.
+
 Exact copies are folded first, so they never meet each other as candidates. In the first round each
 bucket's members are aligned with one of them only. Buckets whose members still belong to different
 components are taken up again in two more rounds, of which the last compares every two members of
@@ -40,6 +44,8 @@ SHINGLE, SKETCHES, PICKED, THRESHOLD = 5, 32, 2, 0.8
 BINS, COARSE = 4096, 1024
 #: Members of a bucket that one tile compares.
 TILE = 2048
+#: Words up to which texts are found exactly.
+SHORT = 64
 
 
 def sketch_words(w: np.ndarray, counts: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
@@ -89,6 +95,43 @@ def sketch_words(w: np.ndarray, counts: np.ndarray, shingle: int = SHINGLE, sket
     return out
 
 
+def stretch_lengths(short: int, threshold: float) -> dict[int, np.ndarray]:
+    """Lengths of stretches, and for each whether a text of 0, 1, ... ``short + 1`` words needs its stretches of that length.
+
+    A text of n words can be linked to those of n to L words with L - n <= k = (1 - threshold) L; with
+    each it shares one of the L words' k + 1 pieces, thus a stretch of the shortest piece's length.
+    """
+    needed: dict[int, np.ndarray] = {}
+    for longer in range(1, short + 1):
+        most = int(longer * (1 - threshold) + 1e-9)
+        if most:  # else only copies are links
+            of = needed.setdefault(max(longer // (most + 1), 1), np.zeros(short + 2, bool))
+            of[max(longer - most, 1) : longer + 1] = True
+    return needed
+
+
+def stretch_keys(w: np.ndarray, counts: np.ndarray, short: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the different stretches that short rows share with what they can be linked to."""
+    begin = np.cumsum(counts) - counts
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for length, needed in stretch_lengths(short, threshold).items():
+        of = np.flatnonzero(needed[np.minimum(counts, short + 1)] & (counts >= length))
+        n = counts[of] - length + 1
+        at = textnum.take_stretches(np.arange(len(w)), begin[of], n)
+        key = np.full(len(at), length, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(length):
+                key = textnum.mix(key + w[at + k], k + 41)
+        rows.append(np.repeat(of, n))
+        keys.append(key)
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
+
+
 def banded_edits(a: np.ndarray, b: np.ndarray, most: int, least: int = 0) -> int:
     """Word edits (insert, delete, replace) that turn ``a`` into ``b``, or ``most + 1`` if more.
 
@@ -172,8 +215,11 @@ def _moved(a: np.ndarray, b: np.ndarray, bins: int) -> int:
     return int(np.abs(np.bincount(a, minlength=bins) - np.bincount(b, minlength=bins)).sum())
 
 
-def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataFrame:
-    """``rid, doc_id, t1, t2, c1, c2, n_words, picks, hist, words`` of rows ``doc_id, text, t1, t2``: one pass over whole texts."""
+def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int, short: int, threshold: float) -> DataFrame:
+    """``rid, doc_id, t1, t2, c1, c2, n_words, picks, hist, words`` of rows ``doc_id, text, t1, t2``: one pass over whole texts.
+
+    The stretches of short texts stand behind the ``sketches`` picks.
+    """
     schema = T.StructType([
         T.StructField("rid", T.LongType()), rows.schema["doc_id"], T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
         T.StructField("n_words", T.LongType()), T.StructField("picks", T.ArrayType(T.LongType())), T.StructField("hist", T.BinaryType()), T.StructField("words", T.BinaryType()),
@@ -190,6 +236,10 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataF
                     c1 = textnum.per_row(textnum.mix(w + place * np.uint64(0x9E3779B97F4A7C15), 21), counts, np.add)
                     c2 = textnum.per_row(textnum.mix(w ^ textnum.mix(place, 22), 23), counts, np.add)
                 picks = sketch_words(w, counts[full], shingle, sketches, picked).ravel() if full.any() else np.zeros(0, np.uint64)
+                row, keys = stretch_keys(w, counts, short, threshold)
+                order = np.argsort(np.concatenate((np.repeat(np.flatnonzero(full), sketches), row)), kind="stable")
+                picks = np.concatenate((picks, keys))[order]
+                n_picks = np.where(full, sketches, 0) + np.bincount(row, minlength=hi - lo)
                 hist = np.bincount(np.repeat(np.arange(hi - lo), counts) * COARSE + (w % np.uint64(COARSE)).astype(np.int64), minlength=(hi - lo) * COARSE)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -198,7 +248,7 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int) -> DataF
                         pa.array(c1.view(np.int64)),
                         pa.array(c2.view(np.int64)),
                         pa.array(counts, pa.int64()),
-                        textnum.ragged(picks.view(np.int64), np.where(full, sketches, 0)).cast(pa.list_(pa.int64())),
+                        textnum.ragged(picks.view(np.int64), n_picks).cast(pa.list_(pa.int64())),
                         textnum.binaries(np.minimum(hist, 255).astype(np.uint8), np.full(hi - lo, COARSE)),
                         textnum.binaries(w.astype(np.uint32), counts),
                     ],
@@ -283,7 +333,7 @@ def possible(table: pa.Table, threshold: float, nearest: bool) -> list[pa.Record
     return [pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])]
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketches: int = SKETCHES, picked: int = PICKED, threshold: float = THRESHOLD, first: int = 8) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketches: int = SKETCHES, picked: int = PICKED, threshold: float = THRESHOLD, first: int = 8, short: int = SHORT) -> DataFrame:
     """``rid, doc_id, component_id, kept, t1, t2`` of each row of ``df``; t1 and t2 are hashes of the text.
 
     The first round aligns the members of the buckets of each row's ``first`` sketches with one of
@@ -291,7 +341,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     the last all pairs that are still apart and not ruled out.
     """
     scratch = Scratch(df.sparkSession, "omh")
-    docs = scratch.keep(prepared(columns_of(df, doc_id=doc_id, text=text).select("doc_id", "text", *hashes_of(F.col("text"))), shingle, sketches, picked))
+    docs = scratch.keep(prepared(columns_of(df, doc_id=doc_id, text=text).select("doc_id", "text", *hashes_of(F.col("text"))), shingle, sketches, picked, short, threshold))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     classes = docs.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n_words").alias("n"), F.min_by("picks", order).alias("picks"))
     classes = scratch.keep(classes.select("c1", "c2", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n", "picks"))

@@ -133,6 +133,42 @@ def test_near_copies(spark, copies):
     assert order_minhash.near_duplicates(docs(spark, copies).where("false")).count() == 0
 
 
+def test_short_near_copies(spark):
+    random.seed(4)
+    texts, pairs = [], []
+    for n in (4, 5, 6, 7, 9, 10, 12, 14, 15, 16, 20, 24, 33, 40, 51, 64):
+        for at in range(3):
+            a = [f"w{n}x{at}y{k}" for k in range(n)]
+            b, most = list(a), n // 5 if n > 4 else 0
+            for e in range(most):  # spread evenly, the worst for shared stretches
+                b[min((2 * e + 1 + at % 2) * n // (2 * most), n - 1)] = f"e{n}x{at}y{e}"
+            texts += [(len(texts), " ".join(a)), (len(texts) + 1, " ".join(b))]
+            if at == 2:  # one word fewer, but as many edits
+                b = a[: n // 2] + a[n // 2 + 1 :]
+                texts[-1] = (texts[-1][0], " ".join(b))
+            pairs.append((texts[-2], texts[-1]))
+    component = {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(docs(spark, texts)).collect()}
+    for (i, a), (j, b) in pairs:
+        a, b = words(a), words(b)
+        linked = edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+        assert (component[i] == component[j]) == linked, (a, b)
+
+
+def test_stretches_of_any_edits():
+    random.seed(5)
+    for _ in range(3000):
+        a = [random.randint(0, 5) for _ in range(random.randint(1, 64))]
+        b, most = list(a), random.randint(0, len(a) // 4)
+        for _ in range(most):
+            k = random.randrange(len(b) + 1)
+            b[k : k + random.randint(0, 1)] = random.choices(range(6, 60), k=random.randint(0, 1))
+        t = random.choice([0.8, 0.8, 0.7, 0.9])
+        if a == b or not b or max(len(a), len(b)) > 64 or edits(a, b) > int(max(len(a), len(b)) * (1 - t) + 1e-9):
+            continue
+        row, keys = order_minhash.stretch_keys(np.array(a + b, np.uint64), np.array([len(a), len(b)]), 64, t)
+        assert set(keys[row == 0].tolist()) & set(keys[row == 1].tolist()), (a, b, t)
+
+
 def test_repeated_rows_keep_one(spark):
     df = docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "x")])
     assert sorted(str(r["doc_id"]) for r in order_minhash.one_of_each(df).collect()) == ["1", "None"]
