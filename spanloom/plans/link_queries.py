@@ -252,3 +252,14 @@ def token_overlap_pairs(spark, sf):
     # sizes are enough: no word list is moved to the pairs
     near = near.join(d.select("doc_id", F.size("a").alias("na")), "doc_id").join(b.select("item_id", F.size("b").alias("nb")), "item_id")
     return near.select("doc_id", "item_id", F.round(2.0 * F.col("n") / (F.col("na") + F.col("nb")), 6).alias("f1"), F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard"))
+
+
+@query()
+def token_overlap_all(spark, sf):
+    """LNK23, EVL6: all texts that share any word with benchmark items, scored over all their distinct words."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: w != ""))
+    d = table(spark, sf, "documents").select("doc_id", words("text").alias("a")).select("doc_id", F.size("a").alias("na"), F.explode("a").alias("w"))
+    b = table(spark, sf, "benchmark").select("item_id", words("text").alias("b")).select("item_id", F.size("b").alias("nb"), F.explode("b").alias("w"))
+    # the benchmark is the small side: sizes travel with its words, and pairs are counted before they are shuffled
+    near = d.join(b, "w").groupBy("doc_id", "na", "item_id", "nb").agg(F.count("*").alias("n"))
+    return near.select("doc_id", "item_id", F.round(2.0 * F.col("n") / (F.col("na") + F.col("nb")), 6).alias("f1"), F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard"))

@@ -220,3 +220,21 @@ def test_split_and_merge(spark):
     f = spark.createDataFrame([(1, 1, 0, 3, "n", "red"), (1, 2, 4, 8, "n", "bolt")], "doc_id long, ord long, start int, end int, type string, text string")
     m = intervals.merge_fragments(f, spark.createDataFrame([(1, "red bolt")], "doc_id long, text string"), [("n", "red bolt")]).collect()
     assert [(r["start"], r["end"], r["text"]) for r in m] == [(0, 8, "red bolt")]
+
+
+def test_token_overlap_over_all_words(spark, tmp_path):
+    from spanloom.plans import link_queries
+
+    documents = [(1, "The red bolt  is the red bolt"), (2, "nothing of it"), (3, None), (4, ""), (5, "incomprehensible RED")]
+    items = [(7, "a red bolt"), (8, "incomprehensible of"), (9, "")]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for i, x in documents:
+        for j, y in items:
+            a, b = set((x or "").lower().split(" ")) - {""}, set(y.lower().split(" ")) - {""}
+            if a & b:
+                want[i, j] = (round(2 * len(a & b) / (len(a) + len(b)), 6), round(len(a & b) / len(a | b), 6))
+    got = {(r["doc_id"], r["item_id"]): (r["f1"], r["jaccard"]) for r in link_queries.token_overlap_all(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 4
+    assert len(link_queries.token_overlap_pairs(spark, str(tmp_path)).collect()) == 1  # its SQL keeps long words only
