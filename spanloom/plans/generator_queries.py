@@ -126,3 +126,11 @@ def review_flags(spark, sf):
     """LNK34: look-ups that someone should see."""
     best = ln.rank_concepts(link_queries.scored(spark, sf)).where("rank = 1").select("qid", "score")
     return link_queries.asked(spark, sf).join(best, "qid", "left").select("qid", (F.col("score").isNull() | (F.col("score") < 0.75)).alias("review"))
+
+
+@query()
+def relocate_all(spark, sf):
+    """GEN11: the mentions of whole texts back to their places."""
+    docs = table(spark, sf, "documents")
+    items = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("k", "surface"))
+    return gen.relocate(items.select("doc_id", (F.col("k") + 1).alias("ord"), "surface"), docs)

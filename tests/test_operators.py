@@ -238,3 +238,24 @@ def test_token_overlap_over_all_words(spark, tmp_path):
     got = {(r["doc_id"], r["item_id"]): (r["f1"], r["jaccard"]) for r in link_queries.token_overlap_all(spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 4
     assert len(link_queries.token_overlap_pairs(spark, str(tmp_path)).collect()) == 1  # its SQL keeps long words only
+
+
+def test_relocate_over_whole_texts(spark, tmp_path):
+    import re
+
+    from spanloom.plans import generator_queries
+
+    documents = [(1, "red bolt, " * 40 + "late gear and Red reddish"), (2, "no"), (3, None)]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, x in documents:
+        seen, low = {}, (x or "").lower()
+        for k, w in enumerate(re.findall("[a-z]{3,}", x or ""), 1):
+            at = low.find(w, seen.get(w, 0))
+            if at >= 0:
+                seen[w] = at + len(w)
+                want.add((i, k, w, at, at + len(w)))
+    got = {tuple(r[c] for c in ("doc_id", "ord", "surface", "start", "end")) for r in generator_queries.relocate_all(spark, str(tmp_path)).collect()}
+    assert got == want and max(r[3] for r in want) > 400
+    cut = generator_queries.relocate(spark, str(tmp_path)).collect()
+    assert len(cut) < len(want)
