@@ -10,17 +10,19 @@ Short texts have too few shingles for that. Those of at most ``short`` words are
 they share a stretch of words that no link between them can be without: a link has k edits at most,
 so one of k + 1 pieces of the longer text is whole in the other. All links between them are found.
 
-Exact copies are folded first, so they never meet each other as candidates. In the first round each
-bucket's members are aligned with one of them only. Buckets whose members still belong to different
-components are taken up again in two more rounds, of which the last compares every two members of
-different components by length and by a histogram of words and aligns what these don't rule out.
-An edit moves a histogram by 2 at most, so no link between different texts that share a pick is
-lost. Large buckets are compared in tiles over many tasks; pairs that are ruled out leave no row.
+Exact copies are folded first, so they never meet each other as candidates. The first round aligns
+the members of the buckets of each row's ``first`` sketches with one member. Buckets whose members
+still belong to different components are then compared in tiles of bounded size, spread over many
+tasks: lengths and a histogram of words (an edit moves it by 2 at most) first tell which members have
+a possible partner, only their words are shipped, and their pairs are aligned in the tile. A tile
+aligns a pair only in the first sketch that the two agree on and only while nothing else in the tile
+connects them, and emits a forest of at most its members, never its pairs. No link between different
+texts that share a pick is lost to the components.
 
 Defined results: null, empty and blank texts have no words and are copies of each other. Texts with
 fewer words than a shingle are one shingle. Rows with a null id take part; a component's id is the
 smallest id in it, null only if all are null, and one row of it is kept: the smallest id, ties by the
-order of the rows. An empty table gives no rows. Extra columns are ignored whatever their names.
+order of the rows. Ids may be of any type that can be ordered. An empty table gives no rows. Extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -29,21 +31,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
-from .common import Scratch, columns_of
+from .common import Scratch, columns_of, parallelism
 from .components import connected_components
-from .runs import by_runs, in_tiles, run_bounds
-
-SHINGLE, SKETCHES, PICKED, THRESHOLD = 5, 32, 2, 0.8
-#: Bins of the histogram of words that rules out pairs before they are aligned, and of the one kept per text.
-BINS, COARSE = 4096, 1024
-#: Members of a bucket that one tile compares.
-TILE = 2048
+from .runs import by_runs, join_groups, run_bounds, spread_tiles
+
+SHINGLE, SKETCHES, PICKED, THRESHOLD = 5, 64, 2, 0.8
+#: The low bits of a key tell its sketch; those of stretches are all set.
+SKETCH_BITS = 127
+#: Bins of the histograms of words that rule out pairs: of the one kept per text, of a tile's, and of a pair's.
+SIGNATURE, COARSE, BINS = 512, 1024, 4096
+#: Members of a bucket that one part of a tile compares, and words that it holds.
+TILE, TILE_WORDS = 2048, 1 << 21
+#: Members of a tile from which on their sketches are made anew, to align no pair twice.
+RESKETCH = 64
+#: Pairs with one hub that a task aligns.
+SPOKES = 4096
 #: Words up to which texts are found exactly.
 SHORT = 64
 
@@ -69,7 +78,7 @@ def sketch_words(w: np.ndarray, counts: np.ndarray, shingle: int = SHINGLE, sket
         label = np.empty(len(at), np.uint64)
         label[order] = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
         labelled = textnum.mix(grams + label * np.uint64(0x9E3779B97F4A7C15), 5)
-        bits = np.uint64(max(len(at), 1).bit_length())
+        bits = np.uint64(max(len(at).bit_length(), 24))  # the same for all but enormous calls, so a row gets the same picks in any company
         places, high = np.arange(len(at), dtype=np.uint64), ~((np.uint64(1) << bits) - np.uint64(1))
         starts = np.cumsum(n) - n
         out = np.empty((rows, sketches), np.uint64)
@@ -215,14 +224,32 @@ def _moved(a: np.ndarray, b: np.ndarray, bins: int) -> int:
     return int(np.abs(np.bincount(a, minlength=bins) - np.bincount(b, minlength=bins)).sum())
 
 
+def histograms(w: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """(rows, bins) counts of words, 255 at most; equal words fall into one bin."""
+    n = np.bincount(np.repeat(np.arange(len(counts)), counts) * bins + (w % w.dtype.type(bins)).astype(np.int64), minlength=len(counts) * bins)
+    return np.minimum(n, 255).astype(np.uint8).reshape(len(counts), bins)
+
+
+def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column whose rows hold ``counts`` values each, compressed; words that repeat take little room."""
+    pack, ends = zstandard.ZstdCompressor(level=1).compress, np.cumsum(counts).tolist()
+    return pa.array([pack(values[a:b].tobytes()) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
+
+
+def unpacked(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """The rows of :func:`packed`."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(unpack(x.as_buffer()), kind) for x in column]
+
+
 def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int, short: int, threshold: float) -> DataFrame:
-    """``rid, doc_id, t1, t2, c1, c2, n_words, picks, hist, words`` of rows ``doc_id, text, t1, t2``: one pass over whole texts.
+    """``rid, doc_id, t1, t2, c1, c2, n_words, picks, signature, words`` of rows ``doc_id, text, t1, t2``: one pass over whole texts.
 
     The stretches of short texts stand behind the ``sketches`` picks.
     """
     schema = T.StructType([
         T.StructField("rid", T.LongType()), rows.schema["doc_id"], T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
-        T.StructField("n_words", T.LongType()), T.StructField("picks", T.ArrayType(T.LongType())), T.StructField("hist", T.BinaryType()), T.StructField("words", T.BinaryType()),
+        T.StructField("n_words", T.LongType()), T.StructField("picks", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()), T.StructField("words", T.BinaryType()),
     ])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +262,13 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int, short: i
                     place = (np.arange(len(w)) - np.repeat(begin, counts)).astype(np.uint64)
                     c1 = textnum.per_row(textnum.mix(w + place * np.uint64(0x9E3779B97F4A7C15), 21), counts, np.add)
                     c2 = textnum.per_row(textnum.mix(w ^ textnum.mix(place, 22), 23), counts, np.add)
+                w &= np.uint64(0xFFFFFFFF)  # what is kept of the words; tiles sketch them again
                 picks = sketch_words(w, counts[full], shingle, sketches, picked).ravel() if full.any() else np.zeros(0, np.uint64)
                 row, keys = stretch_keys(w, counts, short, threshold)
                 order = np.argsort(np.concatenate((np.repeat(np.flatnonzero(full), sketches), row)), kind="stable")
-                picks = np.concatenate((picks, keys))[order]
+                numbers = np.concatenate((np.tile(np.arange(sketches), int(full.sum())), np.full(len(keys), SKETCH_BITS))).astype(np.uint64)
+                picks = (np.concatenate((picks, keys)) & ~np.uint64(SKETCH_BITS) | numbers)[order]
                 n_picks = np.where(full, sketches, 0) + np.bincount(row, minlength=hi - lo)
-                hist = np.bincount(np.repeat(np.arange(hi - lo), counts) * COARSE + (w % np.uint64(COARSE)).astype(np.int64), minlength=(hi - lo) * COARSE)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rid + np.arange(hi - lo), pa.int64()),
@@ -249,8 +277,8 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int, short: i
                         pa.array(c2.view(np.int64)),
                         pa.array(counts, pa.int64()),
                         textnum.ragged(picks.view(np.int64), n_picks).cast(pa.list_(pa.int64())),
-                        textnum.binaries(np.minimum(hist, 255).astype(np.uint8), np.full(hi - lo, COARSE)),
-                        textnum.binaries(w.astype(np.uint32), counts),
+                        packed(histograms(w, counts, SIGNATURE).ravel(), np.full(hi - lo, SIGNATURE)),
+                        packed(w.astype(np.uint32), counts),
                     ],
                     names=schema.names,
                 )
@@ -259,13 +287,18 @@ def prepared(rows: DataFrame, shingle: int, sketches: int, picked: int, short: i
     return rows.mapInArrow(hashed, schema)
 
 
-def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The rows ``u, v`` of ``pairs`` whose words (``rid, words``) are similar enough."""
-    both = pairs.join(words.select(F.col("rid").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("rid").alias("v"), F.col("words").alias("b")), "v")
+def verified(stars: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The rows ``u, v`` of ``stars`` (u, v, salt) whose words (``rid, words``) are similar enough.
+
+    The words of a hub u go to one task per salt, so many spokes don't meet in one.
+    """
+    hubs = stars.groupBy("u").agg(F.max("salt").alias("salts")).join(words.select(F.col("rid").alias("u"), F.col("words").alias("a")).hint("merge"), "u")
+    hubs = hubs.select("u", F.explode(F.expr("sequence(0L, salts)")).alias("salt"), "a")
+    both = stars.join(words.select(F.col("rid").alias("v"), F.col("words").alias("b")).hint("merge"), "v").join(hubs.hint("merge"), ["u", "salt"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32), threshold) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [similar(a, b, threshold) for a, b in zip(unpacked(batch.column(2), np.uint32), unpacked(batch.column(3), np.uint32), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
@@ -277,105 +310,139 @@ def hashes_of(text: Column) -> list[Column]:
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` with one document of each group of near copies."""
+    """The rows of ``df`` with one document of each group of near copies; ids of any type."""
     scratch = Scratch(df.sparkSession, "one-of-each")
     id_ = F.col(f"`{doc_id}`")
-    key = [id_.isNull().alias("k0"), F.coalesce(id_, F.lit(0)).alias("k1")]
-    kept = near_duplicates(df, doc_id, text, **options).where("kept").select("doc_id", "t1", "t2")
-    kept = scratch.keep(kept.select(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), "t1", "t2"))
+
+    def key(of: Column) -> list[Column]:
+        return [of.isNull().alias("k0"), F.coalesce(of.cast("string"), F.lit("")).alias("k1")]
+
+    kept = near_duplicates(df, doc_id, text, **options).where("kept").select(*key(F.col("doc_id")), "t1", "t2")
+    kept = scratch.keep(kept)
     on = ["k0", "k1", "t1", "t2"]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *key, *hashes_of(F.col(f"`{text}`")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *key(id_), *hashes_of(F.col(f"`{text}`")))
     found = rows.join(kept, on, "left_semi")
     if scratch.keep(rows.select(*on)).groupBy(*on).count().where("count > 1").limit(1).count():
         found = found.dropDuplicates(on)  # rows that repeat id and text
     return found.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
-def possible(table: pa.Table, threshold: float, nearest: bool) -> list[pa.RecordBatch]:
-    """Pairs of different components in each tile that lengths and histograms don't rule out.
+def _near(moved_at: np.ndarray, hist: np.ndarray, x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far rows ``y`` are from row x, and which of them aren't farther than ``moved_at`` allows."""
+    moved = (np.maximum(hist[y], hist[x]) - np.minimum(hist[y], hist[x])).sum(1, dtype=np.int32)
+    return moved, moved <= moved_at[y]
+
+
+def partners(n: np.ndarray, component: np.ndarray, side: np.ndarray, hist: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a tile, in the order of length: the longer rows of other components that aren't ruled out, and how far they are.
 
-    ``nearest`` keeps only one pair for every two components of a bucket: the one whose histograms
-    are nearest.
+    ``component`` may change in between.
     """
-    at, rid, side = run_bounds(table, 3), table.column("rid").to_numpy(), table.column("side").to_numpy()
-    n, component = table.column("n").to_numpy(), table.column("component").to_numpy()
-    hist = np.frombuffer(b"".join(x.as_buffer() for x in table.column("hist")), np.uint8).reshape(-1, COARSE)
-    found: list[np.ndarray] = []
+    order = np.argsort(n, kind="stable")
+    counts, split = n[order], bool(side.any())
+    last = np.searchsorted(counts, np.floor(counts / threshold + 1e-6), "right")
+    moved_at = 2 * np.floor(n * (1 - threshold) + 1e-9)
+    for k, x in enumerate(order.tolist()):
+        y = order[k + 1 : last[k]]
+        y = y[component[y] != component[x]]
+        if split:
+            y = y[side[y] != side[x]]
+        if len(y):
+            moved, fits = _near(moved_at, hist, x, y)
+            if fits.any():
+                yield x, y[fits], moved[fits]
+
+
+def possible(table: pa.Table, threshold: float) -> list[pa.RecordBatch]:
+    """The rows of each tile that have a possible partner there."""
+    at, side, n, component = run_bounds(table, 3), *[table.column(c).to_numpy() for c in ("side", "n", "component")]
+    hist = np.concatenate(unpacked(table.column("signature"), np.uint8)).reshape(-1, SIGNATURE)
+    found = np.zeros(table.num_rows, bool)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        order = a + np.argsort(n[a:b], kind="stable")
-        counts, split = n[order], bool(side[a:b].any())
-        last = np.searchsorted(counts, np.floor(counts / threshold + 1e-6), "right")
-        for k, x in enumerate(order.tolist()):
-            y = order[k + 1 : last[k]]
-            y = y[component[y] != component[x]]
-            if split:
-                y = y[side[y] != side[x]]
-            if not len(y):
-                continue
-            moved = np.maximum(hist[y], hist[x]).sum(1, dtype=np.int64) - np.minimum(hist[y], hist[x]).sum(1, dtype=np.int64)
-            fits = moved <= 2 * np.floor(n[y] * (1 - threshold) + 1e-9)
-            y, moved = y[fits], moved[fits]
-            if nearest and len(y):
-                by = np.lexsort((rid[y], moved, component[y]))
-                by = by[np.concatenate(([True], np.diff(component[y][by]) != 0))]
-                for z, far in zip(y[by].tolist(), moved[by].tolist(), strict=True):
-                    key = (min(component[x], component[z]), max(component[x], component[z]))
-                    best[key] = min(best.get(key, (far, x, z)), (far, x, z))
-            elif len(y):
-                found.append(np.stack((np.minimum(rid[y], rid[x]), np.maximum(rid[y], rid[x]))))
-        if best:
-            x, z = np.array([p[1:] for p in best.values()]).T
-            found.append(np.stack((np.minimum(rid[x], rid[z]), np.maximum(rid[x], rid[z]))))
+        if (component[a:b] == component[a]).all():
+            continue
+        for x, y, _ in partners(n[a:b], component[a:b], side[a:b], hist[a:b], threshold):
+            found[a + x] = True
+            found[a + y] = True
+    return table.drop_columns(["signature"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+
+def linked(table: pa.Table, threshold: float, shingle: int, sketches: int, picked: int) -> list[pa.RecordBatch]:
+    """A forest of links ``u, v`` between the components of each tile."""
+    at, side, n, component, key = run_bounds(table, 3), *[table.column(c).to_numpy() for c in ("side", "n", "component", "h")]
+    words = unpacked(table.column("words"), np.uint32)
+    found: list[tuple[int, int]] = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        names, group = np.unique(component[a:b], return_inverse=True)
+        if len(names) < 2:
+            continue
+        hist = histograms(np.concatenate(words[a:b]), n[a:b], COARSE)
+        # an earlier sketch's tiles take the pairs that agree there; in small tiles aligning twice costs less than sketching again
+        before = np.zeros((b - a, 0), np.uint64)
+        if b - a > RESKETCH:
+            before = sketch_words(np.concatenate(words[a:b]).astype(np.uint64), n[a:b], shingle, sketches, picked)[:, : key[a] & SKETCH_BITS]
+        own = group.copy()
+        for x, y, moved in partners(n[a:b], group, side[a:b], hist, threshold):
+            apart = ~(before[y] == before[x]).any(1)
+            for z in y[apart][np.argsort(moved[apart], kind="stable")].tolist():
+                if group[z] != group[x] and similar(words[a + x], words[a + z], threshold):
+                    found.append((names[own[x]], names[own[z]]))
+                    group[group == group[z]] = group[x]
     if not found:
         return []
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    return [pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])]
-
+    u, v = np.array(found).T
+    return [pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])]
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketches: int = SKETCHES, picked: int = PICKED, threshold: float = THRESHOLD, first: int = 8, short: int = SHORT) -> DataFrame:
-    """``rid, doc_id, component_id, kept, t1, t2`` of each row of ``df``; t1 and t2 are hashes of the text.
 
-    The first round aligns the members of the buckets of each row's ``first`` sketches with one of
-    them. The second takes, over all buckets, the nearest pair of every two components of a bucket,
-    the last all pairs that are still apart and not ruled out.
-    """
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketches: int = SKETCHES, picked: int = PICKED, threshold: float = THRESHOLD, first: int = 8, short: int = SHORT, tile: int = TILE) -> DataFrame:
+    """``rid, doc_id, component_id, kept, t1, t2`` of each row of ``df``; t1 and t2 are hashes of the text."""
+    if sketches >= SKETCH_BITS:
+        raise ValueError(f"fewer than {SKETCH_BITS} sketches")
     scratch = Scratch(df.sparkSession, "omh")
     docs = scratch.keep(prepared(columns_of(df, doc_id=doc_id, text=text).select("doc_id", "text", *hashes_of(F.col("text"))), shingle, sketches, picked, short, threshold))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     classes = docs.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n_words").alias("n"), F.min_by("picks", order).alias("picks"))
     classes = scratch.keep(classes.select("c1", "c2", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n", "picks"))
-    buckets = classes.select("rid", "n", F.posexplode("picks").alias("s", "h"))
-    shared = buckets.groupBy("h").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).where("hub != other").select("h", "hub")
-    shared = scratch.keep(buckets.join(shared, "h"))
-    stars = shared.where((F.col("s") < first) & (F.col("rid") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("rid").alias("v")).distinct()
-    tried, links = scratch.keep(stars), scratch.keep(verified(stars, docs, threshold))
-    found = scratch.keep(connected_components(links, scratch))
+    buckets = classes.select("rid", "n", F.explode("picks").alias("h"))
+    shared = buckets.groupBy("h").agg(F.min("rid").alias("hub"), F.max("rid").alias("other"), F.count("*").alias("members")).where("hub != other")
+    shared = shared.select("h", "hub", "members", F.ceil(F.col("members") / SPOKES).alias("salts"))
+    shared = scratch.keep(join_groups(buckets, scratch.keep(shared), ["h"], F.col("rid")))
+    # from here on only texts that share a pick with another one count
+    met = docs.select("rid", "signature", "words").hint("merge").join(shared.select("rid").distinct(), "rid")
+    met = scratch.keep(met)
+    stars = shared.where((F.col("h").bitwiseAND(SKETCH_BITS) < first) & (F.col("rid") != F.col("hub"))).groupBy(F.col("hub").alias("u"), F.col("rid").alias("v")).agg(F.min(F.pmod(F.xxhash64("rid"), "salts")).alias("salt"))
+    stars = scratch.keep(stars)
+    found = scratch.keep(connected_components(verified(stars, met, threshold), scratch))
 
     def placed() -> DataFrame:
         """All bucket members with the component they are in by now."""
         known = shared.join(found.withColumnRenamed("node", "rid"), "rid", "left")
-        return known.select("h", "rid", "n", F.coalesce("component", "rid").alias("component"))
-
-    def mixed() -> DataFrame:
-        """Members of the buckets that hold several components."""
-        now = scratch.keep(placed())
-        several = now.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("h")
-        return scratch.keep(now.join(several, "h", "left_semi"))
-
-    def tiles(nearest: bool) -> DataFrame:
-        members = mixed().join(docs.select("rid", "hist"), "rid").select("h", "rid", "n", "component", "hist")
-        parts = in_tiles(members, "h", TILE).select("h", "i", "j", "rid", "n", "component", "hist", "side")
-        dealt = parts.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rid")
-        return dealt.mapInArrow(lambda b: by_runs(b, 3, lambda table: possible(table, threshold, nearest)), "u long, v long")
-
-    for nearest in (True, False):
-        pairs = scratch.keep(tiles(nearest).distinct().join(tried, ["u", "v"], "left_anti"))
-        tried, links = tried.unionByName(pairs), links.unionByName(scratch.keep(verified(pairs, docs, threshold)))
-        found = scratch.keep(connected_components(links, scratch))
+        return scratch.keep(known.select("h", "rid", "n", F.coalesce("component", "rid").alias("component")))
+
+    # one member of every component of a bucket meets one of the first component's
+    now = placed()
+    parts = now.groupBy("h", "component").agg(F.min("rid").alias("rid"))
+    first_of = parts.groupBy("h").agg(F.min(F.struct("component", "rid")).alias("f"), F.count("*").alias("members")).where("members > 1")
+    pairs = join_groups(parts, scratch.keep(first_of), ["h"], F.col("rid")).where("component != f.component").select(F.least("rid", "f.rid").alias("u"), F.greatest("rid", "f.rid").alias("v")).distinct()
+    pairs = pairs.join(stars.select("u", "v"), ["u", "v"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPOKES)) * 0)
+    found = scratch.keep(connected_components(verified(scratch.keep(pairs), met, threshold).unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))), scratch))
+
+    now = placed()
+    mixed = now.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members"), F.sum("n").alias("words")).where("a != b")
+    mixed = mixed.select("h", "members", F.ceil(F.greatest(F.col("members") / tile, F.col("words") / TILE_WORDS)).cast("int").alias("parts"))
+    members = join_groups(now, scratch.keep(mixed), ["h"], F.col("rid")).join(met.select("rid", "signature").hint("merge"), "rid")
+    columns, tasks = ["h", "i", "j", "rid", "n", "component", "side"], parallelism(df.sparkSession)  # few bytes may mean much work
+    dealt = spread_tiles(members).select(*columns, "signature").repartition(tasks, "h", "i", "j").sortWithinPartitions("h", "i", "j", "rid")
+    some = scratch.keep(dealt.mapInArrow(lambda b: by_runs(b, 3, lambda table: possible(table, threshold)), "h long, i int, j int, rid long, n long, component long, side boolean"))
+    dealt = some.join(met.select("rid", "words").hint("merge"), "rid").select(*columns, "words")
+    dealt = dealt.repartition(tasks, "h", "i", "j").sortWithinPartitions("h", "i", "j", "rid")
+    links = dealt.mapInArrow(lambda b: by_runs(b, 3, lambda table: linked(table, threshold, shingle, sketches, picked)), "u long, v long")
+    joined = scratch.keep(connected_components(links, scratch)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
 
     of_class = classes.select("c1", "c2", "rid", "least").join(found.withColumnRenamed("node", "rid"), "rid", "left")
-    of_class = scratch.keep(of_class.select("c1", "c2", "rid", "least", F.coalesce("component", "rid").alias("component")))
-    head = of_class.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "rid")).alias("head"))
-    of_class = of_class.select("c1", "c2", "component").join(head, "component").select("c1", "c2", F.col("head.id").alias("component_id"), F.col("head.rid").alias("head"))
+    of_class = of_class.select("c1", "c2", "rid", "least", F.coalesce("component", "rid").alias("component")).join(joined, "component", "left")
+    of_class = scratch.keep(of_class.select("c1", "c2", "rid", "least", F.coalesce("whole", "component").alias("component")))
+    head = of_class.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "rid")).alias("head"), F.count("*").alias("members"))
+    head = head.select("component", F.col("head.id").alias("component_id"), F.col("head.rid").alias("head"), "members")
+    of_class = join_groups(of_class.select("c1", "c2", "rid", "component"), scratch.keep(head), ["component"], F.col("rid")).select("c1", "c2", "component_id", "head")
     return docs.select("rid", "doc_id", "c1", "c2", "t1", "t2").join(of_class, ["c1", "c2"]).select("rid", "doc_id", "component_id", (F.col("rid") == F.col("head")).alias("kept"), "t1", "t2")
