@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import WORD
+
 
 def heading_of(core: Column, cues: dict[str, str]) -> Column:
     """The category of the longest cue that a line begins with, numbering and bullets aside; null without one.
@@ -51,19 +53,48 @@ def segments(bounds: DataFrame, lengths: DataFrame) -> DataFrame:
     return out.where("end > start")
 
 
+def _quoted(words: list[str]) -> str:
+    return "(?:" + "|".join(rf"\Q{w}\E" for w in sorted(words, key=len, reverse=True)) + ")"
+
+
+def _not_before(exceptions: list[str]) -> str:
+    return rf"(?!\s*+{_quoted(exceptions)})" if exceptions else ""
+
+
+def any_cue(window: Column, cues: list[str], exceptions: list[str]) -> Column:
+    """Whether some place of a cue in a window isn't followed by an exception right behind it."""
+    return window.rlike(f"(?s){_quoted(cues)}{_not_before(exceptions)}") if cues else F.lit(False)
+
+
 def last_cue_scope(window: Column, cues: list[str], exceptions: list[str]) -> Column:
     """Whether some cue's last hit in a window isn't followed by an exception right behind the cue."""
     out = F.lit(False)
     for cue in sorted(cues, key=len, reverse=True):
-        at = F.length(window) - F.instr(F.reverse(window), cue[::-1]) - len(cue) + 2
-        rest = F.substring(window, at + len(cue), F.length(window))
-        fine = F.lit(True)
-        for e in exceptions:
-            fine = fine & ~F.ltrim(rest).startswith(e)
-        out = out | (F.contains(window, F.lit(cue)) & fine)
+        out = out | window.rlike(f"(?s)^(?>.*{_quoted([cue])}){_not_before(exceptions)}")
     return out
 
 
+def last_subject(window: Column, subjects: list[str], masked: list[str], blockers: list[str]) -> Column:
+    """Whether some subject stands in a window as a whole word and no blocker stands in or behind the last one.
+
+    Masked phrases are blanked first.
+    """
+    for phrase in masked:
+        window = F.replace(window, F.lit(phrase), F.lit(" " * len(phrase)))
+    tail = F.regexp_extract(window, rf"(?s)^(?>.*(?<!{WORD})(?={_quoted(subjects)}(?!{WORD})))(.*)$", 1)
+    blocked = F.lit(False)
+    for b in blockers:
+        blocked = blocked | F.contains(tail, F.lit(b))
+    return (tail != "") & ~blocked
+
+
+def route(marker_at: Column, faq: Column, headers: Column, numbered: Column, advice: Column, opening: int = 15) -> Column:
+    """Five routes: QA where a role marker opens the text, HYBRID_QA where it comes later, FAQ by its lead,
+    HYBRID_CONSULT for one kind of header at most, one numbered heading at most and advice; else NOTE."""
+    consult = (headers > 0) & (headers <= 1) & (numbered <= 1) & advice
+    return F.when(marker_at.between(0, opening), "QA").when(marker_at > opening, "HYBRID_QA").when(faq, "FAQ").when(consult, "HYBRID_CONSULT").otherwise("NOTE")
+
+
 def flags(historical: Column, negated: Column, family: Column, allowed: Column) -> Column:
     """Flags in their fixed order, none where a type can't have any."""
     some = F.array_compact(F.array(F.when(historical, "isHistorical"), F.when(negated, "isNegated"), F.when(family, "isFamily")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -91,6 +93,103 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id").applyInPandas(fold, pairs.schema)
 
 
+def overlap_scores(matches: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """``tp, pred, ref, precision, recall, f1, jaccard`` of one-to-one matches; the Jaccard is F1 / (2 - F1)."""
+    counts = matches.agg(F.count("*").alias("tp")).crossJoin(predicted.agg(F.count("*").alias("pred"))).crossJoin(gold.agg(F.count("*").alias("ref")))  # three single rows
+    f1 = safe(2.0 * F.col("tp"), F.col("pred") + F.col("ref"))
+    return counts.select("tp", "pred", "ref", safe(F.col("tp"), F.col("pred")).alias("precision"), safe(F.col("tp"), F.col("ref")).alias("recall"), f1.alias("f1"), (f1 / (2 - f1)).alias("jaccard"))
+
+
+# The parts of the weighted score.
+TEXT_PART, FLAG_PART, CODE_PART = 0.3, 0.3, 0.4
+
+
+def weighted_score(items: DataFrame) -> DataFrame:
+    """``text_score, flag_score, code_score, score`` of rows ``wer, flags, gold_flags, codes, gold_codes, n_gold, wrong_type``.
+
+    Texts count 1 - error rate, flags and codes their Jaccard (1 where both are empty); codes are
+    weighted by the number of gold codes and one. An item of the wrong type counts twice, with 0 each time.
+    """
+    zero = F.col("wrong_type")
+    both = lambda a, b: F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    times, weight = F.when(zero, 2).otherwise(1), F.size("gold_codes") + 1
+    part = lambda x: F.when(zero, 0.0).otherwise(x)
+    sums = items.agg(
+        F.sum(times).alias("n"), F.sum(part(1 - F.col("wer"))).alias("text"), F.sum(part(both("flags", "gold_flags"))).alias("flags"),
+        F.sum(part(both("codes", "gold_codes") * weight)).alias("codes"), F.sum(times * weight).alias("weights"),
+    )
+    out = sums.select(safe(F.col("text"), F.col("n")).alias("text_score"), safe(F.col("flags"), F.col("n")).alias("flag_score"), safe(F.col("codes"), F.col("weights")).alias("code_score"))
+    return out.withColumn("score", TEXT_PART * F.col("text_score") + FLAG_PART * F.col("flag_score") + CODE_PART * F.col("code_score"))
+
+
+def boundary_ceiling(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``total, representable``: how many spans begin and end where some token (doc_id, start, end; not empty) does."""
+    some = tokens.where("start < end")
+    starts, ends = some.select("doc_id", "start").distinct().withColumn("s", F.lit(1)), some.select("doc_id", "end").distinct().withColumn("e", F.lit(1))
+    both = spans.select("doc_id", "start", "end").join(starts, ["doc_id", "start"], "left").join(ends, ["doc_id", "end"], "left")
+    return both.agg(F.count("*").alias("total"), F.count_if(F.col("s").isNotNull() & F.col("e").isNotNull()).alias("representable"))
+
+
+def agreement(rows: DataFrame, by: str, predicted: str, truth: str) -> DataFrame:
+    """``bucket, n, accuracy`` by bucket and over all (bucket "all")."""
+    same = F.avg((F.col(predicted) == F.col(truth)).cast("int"))
+    return rows.rollup(F.col(by).alias("_b")).agg(F.count("*").alias("n"), same.alias("accuracy")).select(F.coalesce("_b", F.lit("all")).alias("bucket"), "n", "accuracy")
+
+
+def flag_fit(matched: DataFrame) -> DataFrame:
+    """``n, exact, jaccard`` of flag sets ``a`` and ``b`` over matched spans that may have flags."""
+    union = F.size(F.array_union("a", "b"))
+    j = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("a", "b")) / union)
+    return matched.agg(F.count("*").alias("n"), F.avg((F.array_sort(F.array_distinct("a")) == F.array_sort(F.array_distinct("b"))).cast("int")).alias("exact"), F.avg(j).alias("jaccard"))
+
+
+def strategies(rows: DataFrame, ways: dict[str, Column]) -> DataFrame:
+    """``strategy, n, hits, accuracy`` of conditions that say where each strategy is right."""
+    each = F.array(*[F.struct(F.lit(n).alias("strategy"), ok.cast("int").alias("ok")) for n, ok in ways.items()])
+    return rows.select(F.inline(each)).groupBy("strategy").agg(F.count("*").alias("n"), F.sum("ok").alias("hits"), F.avg("ok").alias("accuracy"))
+
+
+def contingency(rows: DataFrame, tier: str, band: Column, bands: Sequence[str]) -> DataFrame:
+    """``tier`` and one count per band."""
+    return rows.groupBy(F.col(tier).alias("tier")).agg(*[F.count_if(band == b).alias(b) for b in bands])
+
+
+def examples(rows: DataFrame, tier: str, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each tier by key (a report)."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(tier).orderBy(key))).where(F.col("place") <= n)
+
+
+def votes(rows: DataFrame, by: str, yes: Column, quorum: int) -> DataFrame:
+    """``by, votes, accepted``: how many rows say yes, and whether they are a quorum."""
+    return rows.groupBy(by).agg(F.count_if(yes).alias("votes")).withColumn("accepted", F.col("votes") >= quorum)
+
+
+def lexicon(spans: DataFrame, shortest: int = 2) -> DataFrame:
+    """``type, phrase, n``: how often each text of ``shortest`` or more characters has a type."""
+    return spans.where(F.length("text") >= shortest).groupBy("type", F.col("text").alias("phrase")).agg(F.count("*").alias("n"))
+
+
+def confidence(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """``key, mean, least, margin, n`` of scores."""
+    return rows.groupBy(*key).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), (F.max(value) - F.min(value)).alias("margin"), F.count("*").alias("n"))
+
+
+def counters(rows: DataFrame, by: Sequence[str], size: str) -> DataFrame:
+    """``by, n, chars``: rows and their summed size."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(size).alias("chars"))
+
+
+def feature_rates(rows: DataFrame, by: str, features: dict[str, Column]) -> DataFrame:
+    """``by, n`` and the share of rows that each condition holds for."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c.cast("int")).alias(n) for n, c in features.items()])
+
+
+def pool_recall(pools: DataFrame, gold: DataFrame) -> DataFrame:
+    """``n, found, recall``: for how many queries (qid, gold) the pool (qid, code) holds the gold code."""
+    hit = gold.join(pools.select("qid", F.col("code").alias("gold")).distinct().withColumn("hit", F.lit(1)), ["qid", "gold"], "left")
+    return hit.agg(F.count("*").alias("n"), F.count("hit").alias("found")).withColumn("recall", safe(F.col("found"), F.col("n")))
+
+
 def word_error_rate(left: Column, right: Column) -> Column:
     """Word edits over the words of ``right``, at most 1; 0 where both have none."""
 

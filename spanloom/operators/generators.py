@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,10 +13,37 @@ from pyspark.sql import functions as F
 
 from . import occurrences
 
-# What may stand between a name and its value, and the value itself.
-CONNECTOR = r"^[\s:]*(?:là|đo được|ở mức|khoảng|tăng lên|tăng từ|giảm xuống|giảm còn|nâng cao lên|:)?\s*"
-VALUE_UNIT = r"(?:mmol\s*/\s*l|mg\s*/\s*dl|mg\s*/\s*l|meq\s*/\s*l|g\s*/\s*l|k\s*/\s*ul|/\s*ul|/\s*mm3|u\s*/\s*l|ui\s*/\s*l|iu\s*/\s*l|mmhg|bpm|mcg|mg|ml|g|iu|%)"
-VALUE = rf"[0-9]+(?:[.,][0-9]+)?(?:\s*(?:-->|->|→|–|-|đến|lên|tới)\s*[0-9]+(?:[.,][0-9]+)?)*(?:\s*{VALUE_UNIT}(?![\p{{L}}\p{{N}}_]))?"
+# Words between a name and its value, signs and words between two numbers of a range, numerators and denominators of units, units alone.
+LINKS = ("là", "đo được", "ở mức", "khoảng", "tăng lên", "tăng từ", "giảm xuống", "giảm còn", "nâng cao lên", ":")
+RANGES = ("-->", "->", "→", "–", "-", "đến", "lên", "tới")
+RATIOS = (("mmol", "l"), ("mg", "dl"), ("mg", "l"), ("meq", "l"), ("g", "l"), ("k", "ul"), ("", "ul"), ("", "mm3"), ("u", "l"), ("ui", "l"), ("iu", "l"))
+PLAIN_UNITS = ("mmhg", "bpm", "mcg", "mg", "ml", "g", "iu", "%")
+
+
+def _any_of(words) -> str:
+    return "(?:" + "|".join(re.escape(w).replace(r"\ ", " ") for w in words) + ")"
+
+
+def value_pattern() -> str:
+    """A number or range of numbers with a whole unit behind it, if there is one."""
+    number = "[0-9]+(?:[.,][0-9]+)?"
+    unit = "|".join([*(rf"{a}\s*/\s*{b}" if a else rf"/\s*{b}" for a, b in RATIOS), *PLAIN_UNITS])
+    return rf"{number}(?:\s*{_any_of(RANGES)}\s*{number})*(?:\s*(?:{unit})(?!{occurrences.WORD}))?"
+
+
+CONNECTOR, VALUE = rf"^[\s:]*{_any_of(LINKS)}?\s*", value_pattern()
+
+
+def windows_of(hits: DataFrame, docs: DataFrame, window: Callable[[Column, Column], Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``hits`` with ``window``: a stretch of the text that ``window(body, hit)`` cuts for each of them.
+
+    The hits of a document travel together, so each text is joined once and not once per hit.
+    """
+    rest = [c for c in hits.columns if c != "doc_id"]
+    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("hits"))
+    both = lists.join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")), "doc_id")
+    cut = both.select("doc_id", F.explode(F.transform("hits", lambda h: F.struct(h.alias("hit"), window(F.col("body"), h).alias("window")))).alias("x"))
+    return cut.select("doc_id", *[F.col(f"x.hit.{c}").alias(c) for c in rest], F.col("x.window").alias("window"))
 
 
 def name_values(docs: DataFrame, names: list[str], doc_id: str = "doc_id", text: str = "text", ahead: int = 60) -> DataFrame:
@@ -25,56 +53,61 @@ def name_values(docs: DataFrame, names: list[str], doc_id: str = "doc_id", text:
     """
     hits = occurrences.phrase_occurrences(docs, names, doc_id, text)
     nxt = F.lead("start").over(W.partitionBy("doc_id").orderBy("start", "end"))
-    rows = hits.withColumn("bound", F.least(F.coalesce(nxt, F.col("end") + ahead), F.col("end") + ahead)).join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")), "doc_id")
-    window = F.regexp_extract(F.substring("body", F.col("end") + 1, F.greatest(F.col("bound") - F.col("end"), F.lit(0))), r"^[^\n;]*", 0)
-    lead = F.length(F.regexp_extract(window, "(?iu)" + CONNECTOR, 0))
-    value = F.regexp_extract(F.substring(window, lead + 1, F.lit(ahead)), "(?iu)^" + VALUE, 0)
+    rows = hits.withColumn("bound", F.least(F.coalesce(nxt, F.col("end") + ahead), F.col("end") + ahead))
+    rows = windows_of(rows, docs, lambda body, h: F.regexp_extract(F.substring(body, h.end + 1, F.greatest(h.bound - h.end, F.lit(0))), r"^[^\n;]*", 0), doc_id, text)
+    lead = F.length(F.regexp_extract("window", "(?iU)" + CONNECTOR, 0))
+    value = F.regexp_extract(F.substring("window", lead + 1, F.lit(ahead)), "(?iU)^" + VALUE, 0)
     out = rows.select("doc_id", "phrase", "start", "end", value.alias("value"), (F.col("end") + lead).alias("value_start"))
     return out.where("value != ''")
 
 
 def chunk_places(text: str, size: int = 1100, overlap: int = 400) -> list[tuple[int, int]]:
-    """Places of chunks of at most ``size`` that end behind white space where some lies in the last ``overlap``."""
+    """Places of chunks of at most ``size`` that end before the last blank of their last ``overlap`` characters, if there is one."""
     out, at = [], 0
-    while at < len(text):
+    while at < len(text) or not out:
         end = min(len(text), at + size)
         if end < len(text):
-            cut = max(text.rfind(c, max(at + 1, end - overlap), end) for c in (" ", "\n", "\t"))
-            end = cut + 1 if cut > at else end
+            blank = text.rfind(" ", at + size - overlap, end)
+            end = blank if blank > at else end
         out.append((at, end))
         at = end
     return out
 
 
 def chunks(text: Column, size: int = 1100, overlap: int = 400) -> Column:
-    """``array<struct<start, end>>`` of :func:`chunk_places`; the chunks join to the whole text."""
+    """``array<struct<start, end>>`` of :func:`chunk_places`; the chunks join to the whole text. A null text has none, an empty one an empty one."""
 
     def of(x: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in chunk_places(v or "", size, overlap)] for v in x])
+        return pd.Series([[{"start": a, "end": b} for a, b in chunk_places(v, size, overlap)] if v is not None else [] for v in x])
 
     of.__annotations__ = {"x": pd.Series, "return": pd.Series}
     return F.pandas_udf(of, "array<struct<start:int,end:int>>")(text)
 
 
+_WORD_START = re.compile(r"(?<![^\W_])[^\W_]")
+
+
+@lru_cache(maxsize=8)
+def _dose_patterns(names: tuple[str, ...], tail: str) -> tuple[re.Pattern, re.Pattern]:
+    known = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    return re.compile(known), re.compile(rf"(?:\s*(?:{tail}))+", re.IGNORECASE)
+
+
 def dose_runs(text: str, names: dict[str, str], tail: str) -> list[tuple[int, int, str]]:
     """Places of names at word starts (the longest first), widened by what ``tail`` matches behind them.
 
     A name that is glued to the last one counts too; the search goes on behind a run.
     """
-    low, at, out = text.lower(), 0, []
-    known, more = sorted(names, key=len, reverse=True), re.compile(rf"(?:\s*(?:{tail}))+", re.IGNORECASE)
-    while at < len(low):
-        glued = bool(out) and out[-1][1] == at
-        if low[at].isalnum() and (at == 0 or not low[at - 1].isalnum() or glued):
-            name = next((n for n in known if low.startswith(n, at)), None)
-            if name:
-                end = at + len(name)
-                if m := more.match(text, end):
-                    end = m.end()
-                out.append((at, end, names[name]))
-                at = end
-                continue
-        at += 1
+    low, out = text.replace("İ", "i").lower(), []
+    known, more = _dose_patterns(tuple(names), tail)
+    done = 0
+    for m in _WORD_START.finditer(low):
+        at = m.start()
+        while at >= done and at < len(low) and low[at].isalnum() and (name := known.match(low, at)):
+            behind = more.match(text, name.end())
+            done = behind.end() if behind else name.end()
+            out.append((at, done, names[name[0]]))
+            at = done
     return out
 
 
@@ -90,6 +123,38 @@ def dose_spans(docs: DataFrame, names: dict[str, str], tail: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start int, end int, canonical string")
 
 
+def rule_union(*parts: DataFrame) -> DataFrame:
+    """The spans ``doc_id, start, end, type, text, source`` of several rules, equal ones once, by the first rule that found them."""
+    rows = None
+    for i, part in enumerate(parts):
+        one = part.select("doc_id", "start", "end", "type", "text", "source", F.lit(i).alias("rule"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("doc_id", "start", "end", "type", "text").agg(F.min_by("source", "rule").alias("source"))
+
+
+def parsed_markup(marked: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """``doc_id, text, spans, error`` of rows ``doc_id, marked``; spans are ``array<struct<start, end, type, flags>>``.
+
+    Spans of a type that isn't among ``types`` are left out, their text stays. A text whose marks don't
+    fit has null text and spans, and says why.
+    """
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, text string, spans array<struct<start:int,end:int,type:string,flags:array<string>>>, error string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, x in zip(b["doc_id"], b["marked"], strict=True):
+                try:
+                    text, spans = parse_markup(x or "")
+                    rows.append((d, text, [{"start": s, "end": e, "type": k, "flags": f} for s, e, k, f in spans if types is None or k in types], None))
+                except ValueError as problem:
+                    rows.append((d, None, None, str(problem)))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "spans", "error"])
+
+    return marked.select("doc_id", "marked").mapInPandas(run, schema)
+
+
 MARK = re.compile(r"⟦/⟧|⟦([^⟦⟧|/]+)(?:\|([^⟦⟧]*))?⟧|⟧|⟦")
 
 
@@ -117,20 +182,66 @@ def parse_markup(marked: str) -> tuple[str, list[tuple[int, int, str, list[str]]
 def relocate(items: DataFrame, docs: DataFrame) -> DataFrame:
     """``doc_id, ord, surface, start, end``: the nth mention of a surface goes to its nth place in the text.
 
-    Items beyond the last place are dropped. Places are found by lower case; surfaces of one or two
-    characters have to match exactly.
+    Items beyond the last place are dropped. Places are found by lower case and don't overlap; surfaces
+    of one or two characters have to match exactly. A document's items travel together, its text once.
     """
-    phrase = F.when(F.length("surface") <= 2, F.col("surface")).otherwise(F.lower("surface"))
-    nth = F.row_number().over(W.partitionBy("doc_id", "phrase").orderBy("ord"))
-    asked = items.withColumn("phrase", phrase).withColumn("nth", nth)
-    texts = asked.select("doc_id", "phrase").distinct().join(docs.select("doc_id", "text"), "doc_id")
-    body = F.when(F.length("phrase") <= 2, F.col("text")).otherwise(F.lower("text"))
-    pieces = texts.select("doc_id", "phrase", F.posexplode(F.split(body, F.concat(F.lit("\\Q"), F.col("phrase"), F.lit("\\E")), F.lit(-1))).alias("k", "piece"))
-    w = W.partitionBy("doc_id", "phrase").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    start = F.sum(F.length("piece")).over(w) + F.col("k") * F.length("phrase")
-    last = F.max("k").over(W.partitionBy("doc_id", "phrase"))
-    places = pieces.select("doc_id", "phrase", (F.col("k") + 1).alias("nth"), start.cast("int").alias("start"), (F.col("k") < last).alias("hit")).where("hit")
-    return asked.join(places, ["doc_id", "phrase", "nth"]).select("doc_id", "ord", "surface", "start", (F.col("start") + F.length("surface")).alias("end"))
+    lists = items.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "surface")).alias("items"))
+    both = lists.join(docs.select("doc_id", "text").where("text is not null"), "doc_id")
+    kind = items.schema["doc_id"].dataType.simpleString()
+    order = items.schema["ord"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, wanted, text in zip(b["doc_id"], b["items"], b["text"], strict=True):
+                low, behind = text.replace("İ", "i").lower(), {}
+                for x in sorted(wanted, key=lambda x: x["ord"]):
+                    exact = len(x["surface"]) <= 2
+                    phrase = x["surface"] if exact else x["surface"].replace("İ", "i").lower()
+                    at = (text if exact else low).find(phrase, behind.get(phrase, 0)) if phrase else -1
+                    behind[phrase] = at + len(phrase) if at >= 0 else len(text) + 1
+                    if at >= 0:
+                        rows.append((d, x["ord"], x["surface"], at, at + len(phrase)))
+            yield pd.DataFrame(rows, columns=["doc_id", "ord", "surface", "start", "end"])
+
+    return both.mapInPandas(run, f"doc_id {kind}, ord {order}, surface string, start int, end int")
+
+
+def segmented(docs: DataFrame, lexicon: Sequence[str], longest: int = 4) -> DataFrame:
+    """``doc_id, segmented, seg2raw``: words of a lexicon phrase joined by ``_``, and the raw place of each character of the result.
+
+    Words are runs without white space; the longest phrase of at most ``longest`` words wins. One blank
+    stands between words, one line end where the text has some; these and the joining signs have no raw
+    place (null) unless they are one in the text.
+    """
+    known = {tuple(p.lower().split()) for p in lexicon}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(text: str) -> tuple[str, list[int | None]]:
+        words = [(m[0], m.start()) for m in re.finditer(r"\S+", text)]
+        out, places, i = [], [], 0
+        while i < len(words):
+            n = next((n for n in range(min(longest, len(words) - i), 1, -1) if tuple(w.lower() for w, _ in words[i : i + n]) in known and "\n" not in text[words[i][1] : words[i + n - 1][1]]), 1)
+            if i:
+                end = words[i - 1][1] + len(words[i - 1][0])
+                gap = text[end : words[i][1]]
+                out.append("\n" if "\n" in gap else " ")
+                places.append(end if len(gap) == 1 else None)
+            for k in range(i, i + n):
+                if k > i:
+                    out.append("_")
+                    places.append(None)
+                out.append(words[k][0])
+                places += range(words[k][1], words[k][1] + len(words[k][0]))
+            i += n
+        return "".join(out), places
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [cut(x or "") for x in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "segmented": [m[0] for m in made], "seg2raw": [m[1] for m in made]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, segmented string, seg2raw array<int>")
 
 
 def raw_places(seg2raw: Column, start: Column, end: Column) -> Column:

@@ -6,10 +6,18 @@ Tables stay exploded and joined on tokens; nothing is held as one large map.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as t
+
+from .vetoes import not_linkable
+
 # Weights and thresholds of the scores.
 TOP_K, MIN_LEXICAL, COLLAPSE, MIN_DENSE = 3, 0.35, 0.75, 0.60
 LEXICAL_WEIGHT, DENSE_WEIGHT, EXACT_BONUS, OVERLAP_BONUS = 0.6, 0.4, 0.15, 0.05
@@ -28,23 +36,76 @@ def block(queries: DataFrame, entries: DataFrame) -> DataFrame:
     return asked.join(token_index(entries), "token").groupBy("qid", "entry_id").agg(F.count("*").alias("shared"))
 
 
+def token_key(tokens: Column) -> Column:
+    """One text for equal sets of tokens."""
+    return F.array_join(F.array_sort(F.array_distinct(tokens)), "\u0001")
+
+
+def keyed_pairs(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """``qk, ek, qt, et`` for the different token sets of both sides that share a token.
+
+    Texts that repeat are blocked and compared once; what they have in common joins the rows afterwards.
+    """
+    qs = queries.select(token_key(F.col("tokens")).alias("qk"), F.array_distinct("tokens").alias("qt")).dropDuplicates(["qk"])
+    es = entries.select(token_key(F.col("tokens")).alias("ek"), F.array_distinct("tokens").alias("et")).dropDuplicates(["ek"])
+    met = block(qs.select(F.col("qk").alias("qid"), F.col("qt").alias("tokens")), es.select(F.col("ek").alias("entry_id"), F.col("et").alias("tokens")))
+    return met.select(F.col("qid").alias("qk"), F.col("entry_id").alias("ek")).join(qs, "qk").join(es, "ek")
+
+
 def closeness(asked: Column, given: Column) -> Column:
     """1 for equal values, 0.6 / (1 + difference) for others, 0 without a value; null if none is asked."""
     return F.when(asked.isNull(), F.lit(None).cast("double")).when(given.isNull(), 0.0).when(asked == given, 1.0).otherwise(0.6 / (1 + F.abs(asked - given)))
 
 
-def score(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """``qid, entry_id, concept, value, prio, score`` of all blocked pairs.
+def lexical(asked: Column, given: Column, forms: Sequence[str] = (), variants: Sequence[str] = (), neutral: Sequence[str] = (), bare: bool = False) -> Column:
+    """The share of the asked tokens that are given, less a penalty for each given one that isn't asked, at least 0.
+
+    A token among ``variants`` costs less, one among ``neutral`` nothing. For ``bare`` entries tokens
+    among ``forms`` aren't asked for, unless there are no others.
+    """
+    words = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
+    if bare and forms:
+        plain = F.array_except(asked, words(forms))
+        asked = F.when(F.size(plain) > 0, plain).otherwise(asked)
+    more = F.array_except(F.array_except(given, asked), words(neutral)) if neutral else F.array_except(given, asked)
+    loose = F.size(F.array_intersect(more, words(variants))) if variants else F.lit(0)
+    share = F.size(F.array_intersect(asked, given)) / F.size(asked)
+    return F.greatest(share - EXTRA_PENALTY * (F.size(more) - loose) - FORM_PENALTY * loose, F.lit(0.0))
+
+
+def score(queries: DataFrame, entries: DataFrame, forms: Sequence[str] = (), variants: Sequence[str] = (), neutral: Sequence[str] = ()) -> DataFrame:
+    """``qid, entry_id, concept, value, prio, suppressed, asked, score`` of all blocked pairs, and ``bare`` if the entries have it.
 
-    The share of the query's tokens that the entry has, less a penalty for each token of the entry
-    that the query lacks, at least 0; halved with the closeness of values where one is asked; plus a
-    little for the entry's priority, less a penalty if it is suppressed.
+    The lexical score, halved with the closeness of values where one is asked; plus a little for the
+    entry's priority, less a penalty if it is suppressed.
     """
-    pairs = block(queries, entries).join(queries.select("qid", F.size("tokens").alias("nq"), F.col("value").alias("asked")), "qid").join(entries.select("entry_id", "concept", F.size("tokens").alias("ne"), "value", "prio", "suppressed"), "entry_id")
-    lexical = F.greatest(F.col("shared") / F.col("nq") - EXTRA_PENALTY * (F.col("ne") - F.col("shared")), F.lit(0.0))
+    pairs = keyed_pairs(queries, entries)
+    plain = lexical(F.col("qt"), F.col("et"), (), variants, neutral)
+    pairs = pairs.select("qk", "ek", plain.alias("lexical"), lexical(F.col("qt"), F.col("et"), forms, variants, neutral, True).alias("lexical_bare"))
+    has_bare = ["bare"] if "bare" in entries.columns else []
+    given = entries.select(token_key(F.col("tokens")).alias("ek"), "entry_id", "concept", "value", "prio", "suppressed", *has_bare)
+    rows = queries.select("qid", token_key(F.col("tokens")).alias("qk"), F.col("value").alias("asked")).join(pairs, "qk").join(given, "ek")
+    words = F.when(F.col("bare"), F.col("lexical_bare")).otherwise(F.col("lexical")) if has_bare else F.col("lexical")
     near = closeness(F.col("asked"), F.col("value"))
-    total = F.when(near.isNull(), lexical).otherwise(0.5 * lexical + 0.5 * near) + (20 - F.col("prio")) * 0.001 - F.when(F.col("suppressed"), SUPPRESSED_PENALTY).otherwise(0.0)
-    return pairs.select("qid", "entry_id", "concept", "value", "prio", "asked", total.alias("score"))
+    total = F.when(near.isNull(), words).otherwise(0.5 * words + 0.5 * near) + (20 - F.col("prio")) * 0.001 - F.when(F.col("suppressed"), SUPPRESSED_PENALTY).otherwise(0.0)
+    return rows.select("qid", "entry_id", "concept", "value", "prio", "suppressed", "asked", *has_bare, total.alias("score"))
+
+
+def distinct_entries(entries: DataFrame) -> DataFrame:
+    """Entries that no score and no tie can tell apart, once: the smallest id stands for them."""
+    rest = [c for c in ("concept", "value", "prio", "suppressed", "bare") if c in entries.columns]
+    one = entries.groupBy(token_key(F.col("tokens")).alias("_k"), *rest).agg(F.min("entry_id").alias("entry_id"), F.first("tokens").alias("tokens"))
+    return one.drop("_k")
+
+
+def once(queries: DataFrame, work: Callable[[DataFrame], DataFrame], *key: str) -> DataFrame:
+    """``work`` over the different queries (by ``key``, else tokens and value), its rows given to all that ask the same."""
+    by = [F.col(k) for k in key] if key else [token_key(F.col("tokens")), F.col("value")]
+    keyed = queries.withColumn("_k", F.xxhash64(*by)).withColumn("_k2", F.xxhash64(F.lit(1), *by))
+    rest = [c for c in queries.columns if c != "qid"]
+    found = work(keyed.groupBy("_k", "_k2").agg(F.min("qid").alias("qid"), *[F.first(c, ignorenulls=False).alias(c) for c in rest]).select(*queries.columns))
+    first = keyed.groupBy("_k", "_k2").agg(F.min("qid").alias("_first"))
+    return keyed.select("qid", "_k", "_k2").join(first, ["_k", "_k2"]).select("qid", "_first").join(found.withColumnRenamed("qid", "_first"), "_first").drop("_first")
 
 
 def rank_concepts(scored: DataFrame) -> DataFrame:
@@ -84,10 +145,108 @@ def first_tier(*tiers: DataFrame) -> DataFrame:
     return out
 
 
-def conservative(ranked: DataFrame, least: float = MIN_LEXICAL, margin: float = 0.01) -> DataFrame:
-    """The best concept if it reaches ``least`` and the next is ``margin`` behind."""
+def cascade(queries: DataFrame, entries: DataFrame, class_terms: Sequence[str] = (), dense: DataFrame | None = None, k: int = TOP_K, nearest: bool = True, least: float = MIN_LEXICAL, forms: Sequence[str] = (), variants: Sequence[str] = (), neutral: Sequence[str] = ()) -> DataFrame:
+    """``qid, rank, entry_id, concept, tier``: the tiered link of each query.
+
+    Queries whose tokens all name classes get nothing. One with a value is looked for among entries that
+    aren't ``bare``: where one has the value, the best (one if it is sure, else ``k``) are the tier
+    "dosed"; else the entry with the nearest value is the tier "nearest" (with ``nearest`` off such
+    queries go on as if nothing were found). Without a value, or where that gives nothing, bare entries
+    are the tier "bare". ``dense`` (qid, rank, entry_id, concept) answers what is left and queries
+    without tokens: the tier "dense".
+    """
+    open_ = queries.where(~not_linkable(F.col("tokens"), class_terms)) if class_terms else queries
+    scored = score(open_.where(F.size("tokens") > 0), distinct_entries(entries), forms, variants, neutral)
+    far = F.abs(F.col("value") - F.col("asked"))
+    best = scored.groupBy("qid", "concept", "bare").agg(
+        F.min_by(F.struct("entry_id", "prio", "score"), F.struct(-F.col("score"), "prio", "entry_id")).alias("b"),
+        F.max(F.coalesce(F.col("value") == F.col("asked"), F.lit(False))).alias("same"),
+        F.min(F.when(far.isNotNull(), F.struct(far.alias("far"), "value", "suppressed", "prio", "entry_id"))).alias("near"),
+        F.max(F.col("asked").isNotNull()).alias("valued"),
+    )
+    per = W.partitionBy("qid", "bare")
+    best = best.withColumn("same", F.max("same").over(per)).where((F.col("b.score") >= least) & (F.col("bare") | F.col("valued")))
+    ranked = best.withColumn("rank", F.row_number().over(per.orderBy(F.desc("b.score"), "b.prio", "b.entry_id")))
+    ranked = ranked.withColumn("top", F.max("b.score").over(per)).withColumn("nearest", F.min("near").over(per))
+    spread = F.col("rank") <= F.when(F.col("top") >= COLLAPSE, 1).otherwise(k)
+    exact = F.col("same") | (F.col("nearest").isNull() if nearest else F.lit(False))
+    dosed = F.when(~F.col("bare") & exact & spread, "dosed")
+    if nearest:
+        dosed = F.coalesce(dosed, F.when(~F.col("bare") & ~exact & (F.col("near.entry_id") == F.col("nearest.entry_id")), "nearest"))
+    tiers = ranked.withColumn("tier", F.coalesce(dosed, F.when(F.col("bare") & spread, "bare"))).where("tier is not null")
+    order = F.when(F.col("tier") == "bare", 2).otherwise(1)
+    tiers = tiers.withColumn("first", F.min(order).over(W.partitionBy("qid"))).where(order == F.col("first"))
+    entry = F.when(F.col("tier") == "nearest", F.col("near.entry_id")).otherwise(F.col("b.entry_id"))
+    place = F.when(F.col("tier") == "nearest", 1).otherwise(F.col("rank"))
+    found = tiers.select("qid", place.alias("rank"), entry.alias("entry_id"), "concept", "tier")
+    if dense is None:
+        return found
+    left = open_.select("qid").join(found.select("qid").distinct(), "qid", "left_anti")
+    return found.unionByName(dense.join(left, "qid", "left_semi").select("qid", "rank", "entry_id", "concept", F.lit("dense").alias("tier")))
+
+
+def conservative(ranked: DataFrame, least: float = MIN_LEXICAL, margin: float = 0.01, brands: DataFrame | None = None, brand_least: float = 0.20) -> DataFrame:
+    """The best concept if it reaches ``least`` and the next is ``margin`` behind.
+
+    ``ranked`` may tell ``contained``: all of a concept's tokens are asked for, which stands in for
+    ``least``. ``brands`` (qid, concept, score, fits) names concepts by their full written name; the
+    best that fits and reaches ``brand_least`` wins over all else.
+    """
     nxt = F.lead("score").over(W.partitionBy("qid").orderBy("rank"))
-    return ranked.withColumn("next", nxt).where((F.col("rank") == 1) & (F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))).drop("next")
+    sure = F.col("score") >= least
+    if "contained" in ranked.columns:
+        sure = sure | F.col("contained")
+    clear = F.col("next").isNull() | (F.col("score") - F.col("next") >= margin)
+    plain = ranked.withColumn("next", nxt).where((F.col("rank") == 1) & sure & clear).drop("next")
+    if brands is None:
+        return plain
+    fit = brands.where(F.col("fits") & (F.col("score") >= brand_least))
+    won = fit.groupBy("qid").agg(F.min_by("concept", F.struct(-F.col("score"), "concept")).alias("concept"))
+    return won.unionByName(plain.join(won, "qid", "left_anti").select("qid", "concept"))
+
+
+# Kinds of catalogue names, for the ordered decisions below.
+COMPONENT_KINDS, PRODUCT_KINDS, NAMED_KINDS, BRANDED_KINDS = ("SCDC", "SBDC"), ("SCD", "SBD", "PSN", "SY"), ("PSN", "SBD", "SY"), ("PSN", "SBD")
+
+
+def guided(queries: DataFrame, ranked: DataFrame, fallback: DataFrame, near: float = 0.05) -> DataFrame:
+    """``qid, concept, why``: an ordered list of decisions over the dosed candidates of each query.
+
+    ``queries`` tells ``qid, by_mouth, by_injection, volumes``; ``ranked`` is ``qid, concept, rank, score,
+    kind, same`` (the value asked for), ``literal`` (its generic name is written), ``named`` (a word of its name is
+    written), ``brand_written``, ``injection``, ``oral`` and ``volume`` (null without one). In this order: a
+    component or plain product that is a full match; a plain product asked for by mouth; a branded one;
+    an injection that is asked for; the injection with the volume asked for; the only injection near a
+    component. Else, and for queries that no candidate has the value of, ``fallback`` (qid, concept).
+    """
+    asked = ranked.join(queries, "qid")
+    fits_volume = F.exists(F.col("volumes"), lambda v: v == F.col("volume"))
+    shot = F.col("injection") & F.col("kind").isin(*PRODUCT_KINDS)
+    usable = shot & F.col("same")
+    top = F.min_by(F.struct("concept", "score", "kind", "literal", "named", "brand_written"), "rank")
+    flags = asked.groupBy("qid").agg(
+        top.alias("t"), F.max("same").alias("any_same"), F.max(F.coalesce(fits_volume, F.lit(False))).alias("volume_met"), F.max(F.when(shot, F.col("score"))).alias("shot_score"),
+        F.min_by(F.struct("concept", "score", F.coalesce(fits_volume, F.lit(False)).alias("volume_fits")), F.when(usable, F.struct(-F.col("score"), "rank"))).alias("i"), F.count_if(usable).alias("n_shots"),
+        F.max(F.col("oral") & (F.col("score") >= 0.90)).alias("oral_there"), F.first("by_mouth").alias("by_mouth"), F.first("by_injection").alias("by_injection"), F.first("volumes").alias("volumes"),
+    )
+    component, plain = F.col("t.kind").isin(*COMPONENT_KINDS), (F.col("t.kind") == "SCD") & F.col("t.literal") & ~F.col("by_injection")
+    volume_ok = (F.size("volumes") == 0) | F.col("volume_met")
+    rival = F.coalesce(F.col("t.score") - F.col("shot_score") <= near, F.lit(False))
+    score_, some = F.col("t.score"), F.col("n_shots") > 0
+    branded = F.col("t.kind").isin(*NAMED_KINDS) & (score_ >= 0.75) & ~F.col("by_injection") & F.col("t.named") & (F.col("t.kind").isin(*BRANDED_KINDS) | (F.col("t.brand_written") & (score_ >= 0.90)))
+    why = (
+        F.when(~F.col("any_same"), None)
+        .when((score_ >= 1.0) & volume_ok & ((component & ~rival) | plain), "full")
+        .when(plain & (score_ >= 0.95) & F.col("by_mouth"), "by mouth")
+        .when(branded, "brand")
+        .when(some & F.col("by_injection") & ~F.col("oral_there") & (F.col("i.score") >= 0.90), "injection")
+        .when(some & F.col("i.volume_fits"), "volume")
+        .when((F.col("n_shots") == 1) & component & (score_ - F.col("i.score") <= near), "only injection")
+    )
+    decided = flags.withColumn("why", why).where("why is not null")
+    chosen = F.when(F.col("why").isin("full", "by mouth", "brand"), F.col("t.concept")).otherwise(F.col("i.concept"))
+    decided = decided.select("qid", chosen.alias("concept"), "why")
+    return decided.unionByName(fallback.join(decided, "qid", "left_anti").select("qid", "concept", F.lit("fallback").alias("why")))
 
 
 def catalogue_score(query: Column, concept: Column, name: Column, qt: Column, nt: Column, suppressed: Column, prio: Column) -> Column:
@@ -189,6 +348,126 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dense_search(queries: DataFrame, catalogue: DataFrame, k: int, block: int = 1 << 16, chunk: int = 1 << 12) -> DataFrame:
+    """``qid, view, code, sim, rank``: the k nearest catalogue vectors (code, vector) of each query vector (qid, view, vector).
+
+    Similarity is the dot product, which is the cosine of unit vectors; ties go to the smaller code. A
+    code equal to the query's id is left out. Rows are dealt into blocks and queries into chunks; each
+    pair of them is one task's matrix product that keeps k rows per query.
+    """
+    rows, asked = catalogue.count(), queries.count()
+    blocks, chunks = max(1, -(-rows // block)), max(1, -(-asked // chunk))
+    have = catalogue.select(F.expr(f"cast(pmod(xxhash64(code), {blocks}) as int)").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), F.lit(False).alias("asks"), F.col("code").alias("id"), F.lit(0).alias("view"), F.col("vector").cast("array<double>").alias("vector"))
+    want = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.expr(f"cast(pmod(xxhash64(qid), {chunks}) as int)").alias("c"), F.lit(True).alias("asks"), F.col("qid").alias("id"), F.col("view").cast("int").alias("view"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, c = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
+        if not len(q) or not len(c):
+            return pd.DataFrame({"qid": [], "view": [], "code": [], "sim": []})
+        sims, codes = np.stack(q["vector"].tolist()) @ np.stack(c["vector"].tolist()).T, c["id"].to_numpy()
+        sims[q["id"].to_numpy()[:, None] == codes[None]] = -np.inf
+        at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"qid": np.repeat(q["id"].to_numpy(), at.shape[1]), "view": np.repeat(q["view"].to_numpy(), at.shape[1]), "code": codes[at].ravel(), "sim": np.take_along_axis(sims, at, 1).ravel()})
+        return out[np.isfinite(out["sim"])]
+
+    kind = have.schema["id"].dataType.simpleString()
+    near = have.unionByName(want).groupBy("b", "c").applyInPandas(best, f"qid {kind}, view int, code {kind}, sim double")
+    rank = F.row_number().over(W.partitionBy("qid", "view").orderBy(F.desc("sim"), "code"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def mean_over_views(found: DataFrame, k: int = TOP_K, least: float = MIN_DENSE) -> DataFrame:
+    """``qid, code, sim, rank``: the k codes with the best mean similarity over the views that found them with ``least`` or more."""
+    mean = found.where(F.col("sim") >= least).groupBy("qid", "code").agg(F.avg("sim").alias("sim"))
+    return mean.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "code"))).where(F.col("rank") <= k)
+
+
+def argmax_with_none(scored: DataFrame) -> DataFrame:
+    """``qid, code``: the best-scored code of each pool (qid, code, score); null where the row NONE wins."""
+    best = scored.groupBy("qid").agg(F.min_by("code", F.struct(-F.col("score"), "code")).alias("code"))
+    return best.select("qid", F.when(F.col("code") != "NONE", F.col("code")).alias("code"))
+
+
+def seed_link(surfaces: DataFrame, names: DataFrame, fuzzy: DataFrame, least: float = 88.0) -> DataFrame:
+    """``qid, code``: by exact surface (``names``: surface, code), else the best of ``fuzzy`` (qid, code, score) from ``least`` on."""
+    first = names.groupBy("surface").agg(F.min("code").alias("code"))
+    exact = surfaces.join(first, "surface").select("qid", "code")
+    near = fuzzy.where(F.col("score") >= least).groupBy("qid").agg(F.min_by("code", F.struct(-F.col("score"), "code")).alias("code"))
+    return exact.unionByName(near.join(exact, "qid", "left_anti"))
+
+
+def code_nodes(raw: DataFrame) -> DataFrame:
+    """``code, name, level, parent, children, cons, aggr`` of raw nodes (code, name, parent).
+
+    Codes come in one spelling. A node without a parent gets the one that its code tells, if that is a
+    node too; the first of nodes that repeat a code counts.
+    """
+    clean = raw.select(t.canonical_code(F.col("code")).alias("code"), "name", t.canonical_code(F.col("parent")).alias("parent")).where("code is not null and code != ''")
+    one = clean.groupBy("code").agg(F.min_by("name", F.struct(F.col("name").isNull(), "name")).alias("name"), F.min("parent").alias("parent"))
+    told = t.parent_code(F.col("code"))
+    known = one.select(F.col("code").alias("_known"))
+    one = one.withColumn("_told", told).join(known, F.col("_told") == F.col("_known"), "left")
+    one = one.select("code", "name", t.code_level(F.col("code")).alias("level"), F.coalesce("parent", "_known").alias("parent"))
+    below = one.groupBy(F.col("parent").alias("code")).agg(F.array_sort(F.collect_list("code")).alias("children"))
+    out = one.join(below, "code", "left")
+    return out.select("code", "name", "level", "parent", F.coalesce("children", F.array().cast("array<string>")).alias("children"), t.normalize_conservative(F.col("name")).alias("cons"), t.normalize_aggressive(F.col("name")).alias("aggr"))
+
+
+def name_index(nodes: DataFrame) -> DataFrame:
+    """``key, code, ord``: the codes of every name, under both its keys, in the order of the codes."""
+    both = nodes.select("code", F.explode(F.array_distinct(F.array("cons", "aggr"))).alias("key")).where("key != ''")
+    return both.withColumn("ord", F.row_number().over(W.partitionBy("key").orderBy("code")))
+
+
+def match_codes(queries: DataFrame, nodes: DataFrame, aliases: DataFrame, fuzzy: DataFrame | None = None, phrase: str = "không xác định") -> DataFrame:
+    """``qid, code, confidence, how``: the cascade of look-ups for each text (qid, text, negated).
+
+    Negated texts are skipped. Else the first of: a code written in the text; an alias (alias, code,
+    confidence); a name; the text without its qualifiers (see :func:`qualifier_backoff`); an accepted
+    fuzzy match (qid, code, confidence). Each different text is looked up once.
+    """
+    texts = queries.where("not negated").select("text").distinct()
+    clean, _ = t.split_assertion(F.col("text"), {"negated": [r"không\s+có\s+", r"không\s+"], "historical": [r"tiền\s+sử\s+"]}, [r"bị\s+"])
+    base, unspecified = t.without_qualifiers(clean)
+    keys = texts.select("text", t.code_literal(clean).alias("literal"), t.normalize_conservative(clean).alias("cons"), t.normalize_aggressive(clean).alias("aggr"), t.normalize_conservative(base).alias("base_cons"), t.normalize_aggressive(base).alias("base_aggr"), unspecified.alias("unspecified"))
+    known = nodes.select("code").distinct()
+    spelled = aliases.select("alias", "code", "confidence").join(known, "code", "left_semi")
+    alias_keys = spelled.select(F.struct("code", F.col("confidence").cast("double").alias("confidence")).alias("alias"), F.explode(F.array_distinct(F.array(t.normalize_conservative(F.col("alias")), t.normalize_aggressive(F.col("alias"))))).alias("key")).where("key != ''")
+    named = name_index(nodes).where("ord = 1").select("key", F.struct("code", F.lit(1.0).alias("confidence")).alias("name"))
+    look = alias_keys.groupBy("key").agg(F.min("alias").alias("alias")).join(named, "key", "full")
+    # every key of a text is one row, so all of them meet the index in one join
+    slots = ("cons", "aggr", "base_cons", "base_aggr")
+    asked = keys.select("text", "literal", "unspecified", F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.col(k).alias("key")) for k in slots])).alias("s")).select("text", "literal", "unspecified", "s.slot", "s.key")
+    met = [F.max(F.when(F.col("slot") == k, F.col(source))).alias(f"{source}_{k}") for source in ("alias", "name") for k in slots]
+    found = asked.join(look, "key", "left").groupBy("text").agg(F.first("literal").alias("literal"), F.first("unspecified").alias("unspecified"), *met)
+    found = found.join(known.select(F.col("code").alias("literal"), F.lit(True).alias("is_code")), "literal", "left")
+    step = lambda source, a, b: F.coalesce(f"{source}_{a}", f"{source}_{b}")
+    root = F.coalesce(step("alias", "base_cons", "base_aggr"), step("name", "base_cons", "base_aggr")).getField("code")
+    found = found.select("text", F.when(F.col("is_code"), F.col("literal")).alias("literal"), step("alias", "cons", "aggr").alias("alias"), step("name", "cons", "aggr").alias("name"), root.alias("root"), "unspecified")
+    children = nodes.where("parent is not null").select(F.col("parent").alias("code"), F.col("code").alias("child"), "name")
+    backed = qualifier_backoff(found.where("root is not null").select(F.col("text").alias("qid"), F.col("root").alias("code"), "unspecified"), children, phrase)
+    found = found.join(backed.select(F.col("qid").alias("text"), F.struct("code", "confidence").alias("backed")), "text", "left")
+    out = queries.join(found, "text", "left")
+    if fuzzy is not None:
+        out = out.join(fuzzy.select("qid", F.struct("code", "confidence").alias("fuzzy")), "qid", "left")
+    else:
+        out = out.withColumn("fuzzy", F.lit(None).cast("struct<code:string,confidence:double>"))
+    ways = [("code", F.col("literal"), F.lit(1.0)), *[(w, F.col(f"{w}.code"), F.col(f"{w}.confidence").cast("double")) for w in ("alias", "name", "backed", "fuzzy")]]
+    best = F.lit(None).cast("struct<code:string,confidence:double,how:string>")
+    for how, code, sure in reversed(ways):
+        best = F.when(code.isNotNull(), F.struct(code.alias("code"), sure.alias("confidence"), F.lit(how).alias("how"))).otherwise(best)
+    best = F.when(F.col("negated"), F.lit(None)).otherwise(best)
+    return out.select("qid", best.getField("code").alias("code"), F.coalesce(best.getField("confidence"), F.lit(0.0)).alias("confidence"), F.coalesce(best.getField("how"), F.when(F.col("negated"), "negated").otherwise("none")).alias("how"))
+
+
+def adapted(matched: DataFrame, candidates: DataFrame, first: int = 5) -> DataFrame:
+    """``qid, codes``: the matched code alone; without one the ``first`` candidates (qid, code, rank) in order; none for negated texts."""
+    listed = candidates.where(F.col("rank") <= first).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x.code).alias("more"))
+    none = F.array().cast("array<string>")
+    codes = F.when(F.col("how") == "negated", none).when(F.col("code").isNotNull(), F.array("code")).otherwise(F.coalesce("more", none))
+    return matched.join(listed, "qid", "left").select("qid", codes.alias("codes"))
+
+
 def family(nodes: DataFrame) -> DataFrame:
     """``code, parent, n_children, n_siblings`` of an adjacency list (code, parent)."""
     below = nodes.groupBy(F.col("parent").alias("code")).agg(F.count("*").alias("n_children"))

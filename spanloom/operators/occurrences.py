@@ -22,14 +22,18 @@ def line_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return out.where(~F.col("last")).select("doc_id", "ord", "start", (F.col("start") + F.length("core")).alias("end"), "core")
 
 
+def lowered(text: Column) -> Column:
+    """Lower case with every character at its place: U+0130, whose lower case is two characters, becomes i."""
+    return F.lower(F.translate(text, "İ", "i"))
+
+
 def phrase_occurrences(df: DataFrame, phrases: Sequence[str], doc_id: str = "doc_id", text: str = "text", boundary: bool = True) -> DataFrame:
-    """``doc_id, phrase, start, end``: left-to-right occurrences that don't overlap, of any case.
+    """``doc_id, phrase, start, end``: left-to-right occurrences that don't overlap, of any case, at their places in the text as it is.
 
     ``boundary`` keeps those that no word character touches. Only lengths and border characters are
     shuffled, not the texts.
     """
-    low = F.lower(F.col(text))
-    asked = df.select(F.col(doc_id).alias("doc_id"), low.alias("low"), F.explode(F.array(*[F.lit(p.lower()) for p in phrases])).alias("phrase"))
+    asked = df.select(F.col(doc_id).alias("doc_id"), lowered(F.col(text)).alias("low"), F.explode(F.array(*[F.lit(p.replace("İ", "i").lower()) for p in phrases])).alias("phrase"))
     asked = asked.where(F.contains("low", F.col("phrase")))
     pieces = asked.select("doc_id", "phrase", F.posexplode(F.split("low", F.concat(F.lit("\\Q"), F.col("phrase"), F.lit("\\E")), F.lit(-1))).alias("ord", "piece"))
     pieces = pieces.select("doc_id", "phrase", "ord", F.length("piece").alias("n"), F.left("piece", F.lit(1)).alias("head"), F.right("piece", F.lit(1)).alias("tail"))

@@ -43,10 +43,15 @@ def violation_counts(spans: DataFrame, rules: dict[str, str], key: list[str]) ->
 
 def above_threshold(spans: DataFrame, rules: DataFrame) -> DataFrame:
     """Spans whose measure (``metrics`` map) named for their type reaches its threshold; other types stay."""
-    joined = spans.join(F.broadcast(rules), "type", "left")  # a row per type
+    joined = spans.join(rules, "type", "left")  # broadcast by its size, if that is small
     return joined.where(F.col("threshold").isNull() | (F.element_at("metrics", F.col("metric")) >= F.col("threshold"))).select(*spans.columns)
 
 
+def first_errors(spans: DataFrame, broken: Column, order: list[str], n: int = 20) -> DataFrame:
+    """The first ``n`` rows that break a rule, with the rules (a report)."""
+    return spans.withColumn("errors", broken).where(F.size("errors") > 0).orderBy(*order).limit(n)
+
+
 def json_rows(spans: DataFrame) -> DataFrame:
     """``doc_id, n, json``: each document's spans as one JSON array in the order of ``ord``."""
     item = F.struct("text", F.array("start", "end").alias("position"), "type")

@@ -8,16 +8,39 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as t
 from spanloom.operators import context as cx
 from spanloom.operators import evaluate as ev
+from spanloom.operators import generators as gen
+from spanloom.operators import intervals as iv
 from spanloom.operators import occurrences as occ
 from spanloom.operators import sampling as sm
 from spanloom.operators import sequences as sq
 from spanloom.operators import validate
+from spanloom.operators import vetoes as vt
 
+from . import span_queries, text_queries
 from .tables import registry, table
 
 QUERIES, ORACLES, query = registry()
 
 
+CUES = {"the": "A", "the and": "B", "is": "C", "le": "D", "der": "E", "que": "F"}
+_HEAD = """hd AS (SELECT doc_id, start, CASE
+  WHEN starts_with(c, 'the and') AND (substr(c, 8, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') OR starts_with(c, 'the')) THEN 'B'
+  WHEN starts_with(c, 'the') AND substr(c, 4, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'A'
+  WHEN starts_with(c, 'der') AND substr(c, 4, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'E'
+  WHEN starts_with(c, 'que') AND substr(c, 4, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'F'
+  WHEN starts_with(c, 'le') AND substr(c, 3, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'D'
+  WHEN starts_with(c, 'is') AND substr(c, 3, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'C' END AS category
+  FROM (SELECT doc_id, start, regexp_replace(lower(core), '^[\\s\\-•*0-9.)]+', '') AS c FROM (
+    SELECT doc_id, s[ord + 1] AS core, CAST(coalesce(list_sum(list_transform(s[1:ord], lambda x: length(x) + 1)), 0) AS INT) AS start FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))) ),
+hs AS (SELECT * FROM hd WHERE category IS NOT NULL), b AS (SELECT * FROM hs UNION ALL SELECT doc_id, 0, 'ROOT' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hs WHERE start = 0)),
+sec AS (SELECT b.doc_id, start, coalesce(lead(start) OVER (PARTITION BY b.doc_id ORDER BY start), CAST(length(text) AS INT)) AS "end", category FROM b JOIN documents d ON d.doc_id = b.doc_id)"""
+
+
+def section_rows(spark, sf):
+    docs = table(spark, sf, "documents")
+    return cx.sections(occ.line_spans(docs), docs.select("doc_id", F.length("text").alias("n")), CUES)
+
+
 def judged(spark, sf):
     """Labelled documents with a simple prediction: quality 1 from 300 characters on."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
@@ -61,8 +84,18 @@ def class_weights(spark, sf):
 
 @query(f"WITH {_J} SELECT coalesce(lang, 'all') AS bucket, count(*) AS n, avg(CAST(pred = quality AS INT)) AS accuracy FROM j GROUP BY ROLLUP (lang)")
 def accuracy_buckets(spark, sf):
-    """EVL7, EVL15: agreement by bucket and over all."""
-    return judged(spark, sf).rollup(F.col("lang").alias("l")).agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("quality")).cast("int")).alias("accuracy")).select(F.coalesce("l", F.lit("all")).alias("bucket"), "n", "accuracy")
+    """EVL15: agreement by bucket and over all."""
+    return ev.agreement(judged(spark, sf), "lang", "pred", "quality")
+
+
+@query(f"""WITH {_J}, m AS (SELECT list_distinct(list_filter([CASE WHEN pred = 1 THEN 'good' END, CASE WHEN n_chars % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)) AS a, list_distinct(list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN n_chars % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)) AS b FROM j),
+x AS (SELECT list_sort(a) = list_sort(b) AS same, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u FROM m)
+SELECT count(*) AS n, avg(CAST(same AS INT)) AS exact, round(avg(CASE WHEN u = 0 THEN 1.0 ELSE i / CAST(u AS DOUBLE) END), 9) AS jaccard FROM x""")
+def flag_fit(spark, sf):
+    """EVL7: how well the flags of matched rows agree."""
+    even = F.when(F.col("n_chars") % 2 == 0, "even")
+    both = judged(spark, sf).select(F.array_compact(F.array(F.when(F.col("pred") == 1, "good"), even)).alias("a"), F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), even)).alias("b"))
+    return ev.flag_fit(both).withColumn("jaccard", F.round("jaccard", 9))
 
 
 _CF = """cf AS (SELECT o_orderkey, list_distinct(list(CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_returnflag <> 'N')) AS a, list_distinct(list(CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_linestatus = 'F')) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
@@ -83,9 +116,7 @@ def candidate_fit(spark, sf):
 SELECT strategy, count(*) AS n, CAST(sum(CAST(ok AS INT)) AS BIGINT) AS hits, avg(CAST(ok AS INT)) AS accuracy FROM s GROUP BY strategy""")
 def strategy_compare(spark, sf):
     """EVL10: strategies side by side."""
-    ways = F.array(*[F.struct(F.lit(n).alias("strategy"), ok.alias("ok")) for n, ok in (("length", F.col("pred") == F.col("quality")), ("always", F.col("quality") == 1), ("parity", (F.col("doc_id") % 2) == F.col("quality")))])
-    s = judged(spark, sf).select(F.inline(ways))
-    return s.groupBy("strategy").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("hits"), F.avg(F.col("ok").cast("int")).alias("accuracy"))
+    return ev.strategies(judged(spark, sf), {"length": F.col("pred") == F.col("quality"), "always": F.col("quality") == 1, "parity": (F.col("doc_id") % 2) == F.col("quality")})
 
 
 @query("""WITH z AS (SELECT o_orderpriority AS tier, CASE WHEN o_totalprice >= 200000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS band FROM orders)
@@ -93,7 +124,13 @@ SELECT tier, CAST(count(*) FILTER (WHERE band = 'high') AS BIGINT) AS high, CAST
 def tier_contingency(spark, sf):
     """EVL11: tiers against bands."""
     band = F.when(F.col("o_totalprice") >= 200000, "high").when(F.col("o_totalprice") >= 100000, "mid").otherwise("low")
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("tier")).agg(*[F.count(F.when(band == b, 1)).alias(b) for b in ("high", "mid", "low")])
+    return ev.contingency(table(spark, sf, "orders"), "o_orderpriority", band, ("high", "mid", "low"))
+
+
+@query("SELECT o_orderpriority AS tier, o_orderkey, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3")
+def tier_examples(spark, sf):
+    """EVL11: the first rows of each tier (a report)."""
+    return ev.examples(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("tier"), "o_orderkey"), "tier", "o_orderkey", 3)
 
 
 @query("""WITH s AS (SELECT doc_id, text, len(string_split(text, 'the')) - 1 AS n, length(text) AS chars FROM documents), d AS (SELECT doc_id, chars, n, CASE WHEN chars = 0 THEN 0 ELSE round(1000.0 * n / chars, 6) END AS density FROM s)
@@ -118,34 +155,38 @@ def batch_gate(spark, sf):
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source")
 def package_counters(spark, sf):
     """EVL20, EVL21: counts of a package by kind."""
-    return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return ev.counters(table(spark, sf, "documents"), ["lang", "source"], "n_chars")
 
 
 @query("SELECT user_id, CAST(count(*) FILTER (WHERE value > 30) AS BIGINT) AS votes, count(*) FILTER (WHERE value > 30) >= 3 AS accepted FROM events GROUP BY user_id")
 def vote_tally(spark, sf):
     """EVL22: votes against a quorum."""
-    votes = F.count_if(F.col("value") > 30)
-    return table(spark, sf, "events").groupBy("user_id").agg(votes.alias("votes"), (votes >= 3).alias("accepted"))
+    return ev.votes(table(spark, sf, "events"), "user_id", F.col("value") > 30, 3)
 
 
 @query("SELECT p_type AS type, lower(p_name) AS phrase, count(*) AS n FROM part WHERE length(p_name) >= 2 GROUP BY p_type, lower(p_name)")
 def lexicon_freq(spark, sf):
     """EVL23: how often a phrase has a type."""
-    return table(spark, sf, "part").where("length(p_name) >= 2").groupBy(F.col("p_type").alias("type"), F.lower("p_name").alias("phrase")).agg(F.count("*").alias("n"))
+    return ev.lexicon(table(spark, sf, "part").select(F.col("p_type").alias("type"), F.lower("p_name").alias("text")))
 
 
 @query("SELECT user_id, event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) - min(value) AS margin, count(*) AS n FROM events GROUP BY user_id, event_type")
 def confidence_rollup(spark, sf):
     """EVL24: means and minima of scores."""
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), (F.max("value") - F.min("value")).alias("margin"), F.count("*").alias("n"))
+    return ev.confidence(table(spark, sf, "events"), ["user_id", "event_type"], "value").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
+@query("""WITH a AS (SELECT doc_id, text, lower(replace(text, 'İ', 'i')) AS low, unnest(['of', 'the']) AS phrase FROM documents), s AS (SELECT doc_id, text, phrase, string_split(low, phrase) AS parts FROM a WHERE contains(low, phrase)),
+i AS (SELECT doc_id, text, phrase, parts, unnest(range(1, len(parts))) AS i FROM s), h AS (SELECT text, phrase, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(phrase) AS INT) AS b FROM i)
+SELECT count(*) AS total, CAST(count(*) FILTER (WHERE (b = 0 OR regexp_matches(substr(text, b, 1), '\\s')) AND (b + length(phrase) = length(text) OR regexp_matches(substr(text, b + length(phrase) + 1, 1), '\\s'))) AS BIGINT) AS representable FROM h""")
 def boundary_ceiling(spark, sf):
-    """EVL17: spans both of whose borders exist among token borders."""
-    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    starts, ends = l.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey")), l.where("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey"))
-    return o.join(starts, "o_orderkey", "left_semi").join(ends, "o_orderkey", "left_semi").select("o_orderkey")
+    """EVL17: spans both of whose borders exist among the borders of a tokenizer's tokens, which white space ends here."""
+    docs = table(spark, sf, "documents")
+    pieces = docs.select("doc_id", F.posexplode(F.split("text", r"\s", -1)).alias("k", "piece"))
+    w = W.partitionBy("doc_id").orderBy("k")
+    start = F.coalesce(F.sum(F.length("piece") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tokens = pieces.select("doc_id", start.cast("int").alias("start"), F.length("piece").alias("n")).select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
+    return ev.boundary_ceiling(occ.phrase_occurrences(docs, ["of", "the"], boundary=False), tokens)
 
 
 @query("SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'unexpected' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
@@ -171,8 +212,7 @@ def manifest_split(spark, sf):
 @query("SELECT DISTINCT conv_id FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) WHERE k % 5 = 0 AND k > 0")
 def every_fifth(spark, sf):
     """SMP4: documents that hold a fifth row."""
-    k = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1
-    return table(spark, sf, "conversations").select("conv_id", k.alias("k")).where("k % 5 = 0 and k > 0").select("conv_id").distinct()
+    return sm.every_nth(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
 @query("""WITH r AS (SELECT doc_id, source, toxic, row_number() OVER (PARTITION BY source ORDER BY toxic DESC, md5(CAST(doc_id AS VARCHAR) || ':13')) AS k FROM (SELECT d.doc_id, source, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id))
@@ -207,11 +247,61 @@ def multi_hot(spark, sf):
 @query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 30)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.user_id IS NULL THEN 'ADD' WHEN b.user_id IS NULL THEN 'DROP' ELSE 'KEEP' END AS action FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""")
 def reference_diff(spark, sf):
-    """SMP8: what two references agree on."""
+    """SMP8, its part on equal keys: what two references agree on."""
     e = table(spark, sf, "events")
     return sm.reference_diff(e.where("value > 60"), e.where("value < 30"), ["user_id", "event_type"])
 
 
+@query()
+def verifier_rows(spark, sf):
+    """SMP8: KEEP, ADJUST, DROP and REVIEW from two references and a model; greedy, so tested against a plain loop."""
+    s = span_queries.spans(spark, sf)
+    return sm.verifier_rows(s.where("ord % 3 = 0"), s.where("ord % 3 = 1"), s.where("ord % 3 = 2"), F.when(F.col("start") % 5 == 0, "masked"))
+
+
+@query("""WITH l AS (SELECT doc_id, quality FROM labels), p AS (SELECT doc_id AS qid, 'c' || CAST(doc_id % 7 + k AS VARCHAR) AS code FROM l, (SELECT unnest([0, 1, 2]) AS k)), g AS (SELECT doc_id AS qid, CASE WHEN quality = 1 THEN 'c' || CAST(doc_id % 11 AS VARCHAR) END AS gold FROM l),
+u AS (SELECT DISTINCT qid, code FROM (SELECT qid, code FROM p UNION ALL SELECT qid, gold FROM g WHERE gold IS NOT NULL))
+SELECT u.qid, code, CASE WHEN code = gold THEN 1 ELSE 0 END AS label FROM u JOIN g ON u.qid = g.qid UNION ALL SELECT qid, 'NONE', CASE WHEN gold IS NULL THEN 1 ELSE 0 END FROM g""")
+def training_pairs(spark, sf):
+    """SMP11: pools with their gold code forced in, and NONE."""
+    l = table(spark, sf, "labels")
+    pools = l.select(F.col("doc_id").alias("qid"), F.explode(F.array(*[F.concat(F.lit("c"), (F.col("doc_id") % 7 + k).cast("string")) for k in range(3)])).alias("code"))
+    gold = l.select(F.col("doc_id").alias("qid"), F.when(F.col("quality") == 1, F.concat(F.lit("c"), (F.col("doc_id") % 11).cast("string"))).alias("gold"))
+    return sm.training_pairs(pools, gold)
+
+
+@query(f"WITH p AS (SELECT doc_id AS qid, 'c' || CAST(doc_id % 7 + k AS VARCHAR) AS code FROM labels, (SELECT unnest([0, 1, 2]) AS k)), g AS (SELECT doc_id AS qid, 'c' || CAST(doc_id % 11 AS VARCHAR) AS gold FROM labels) SELECT count(*) AS n, CAST(count(p.qid) AS BIGINT) AS found, count(p.qid) / CAST(count(*) AS DOUBLE) AS recall FROM g LEFT JOIN p ON g.qid = p.qid AND gold = code")
+def pool_recall(spark, sf):
+    """EVL16: how often a pool holds the gold code."""
+    l = table(spark, sf, "labels").select(F.col("doc_id").alias("qid"))
+    pools = l.select("qid", F.explode(F.array(*[F.concat(F.lit("c"), (F.col("qid") % 7 + k).cast("string")) for k in range(3)])).alias("code"))
+    return ev.pool_recall(pools, l.select("qid", F.concat(F.lit("c"), (F.col("qid") % 11).cast("string")).alias("gold")))
+
+
+@query(f"""WITH {_HEAD}, {text_queries._HITS}, g AS (SELECT sec.doc_id, sec.start AS s0, sec."end" AS e0, category FROM sec), ii AS (SELECT g.doc_id, s0, list('{{"start":' || CAST(pos - s0 AS VARCHAR) || ',"end":' || CAST(pos + 4 - s0 AS VARCHAR) || ',"type":"that"}}' ORDER BY pos) AS l FROM g JOIN h ON g.doc_id = h.doc_id AND pos >= s0 AND pos + 4 <= e0 GROUP BY g.doc_id, s0)
+SELECT g.doc_id, g.s0 AS segment, md5(CASE category WHEN 'A' THEN 'a' WHEN 'ROOT' THEN 'r' ELSE 'x' END || chr(10) || chr(10) || substr(text, g.s0 + 1, e0 - g.s0)) AS prompt_md5, md5(coalesce('[' || array_to_string(l, ',') || ']', '[]')) AS answer_md5
+FROM g JOIN documents d ON d.doc_id = g.doc_id LEFT JOIN ii ON ii.doc_id = g.doc_id AND ii.s0 = g.s0""")
+def segment_examples(spark, sf):
+    """SMP12, STR31: every section as a prompt by the policy of its kind, answered by the spans inside it."""
+    docs = table(spark, sf, "documents")
+    segments = section_rows(spark, sf).select("doc_id", F.col("start").alias("segment"), F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("category").alias("kind"))
+    hits = text_queries.that_hits(spark, sf).select("doc_id", "start", "end", F.lit("that").alias("type"), F.col("start").alias("ord"))
+    made = sm.segment_examples(segments, docs, hits, {"A": "a", "ROOT": "r"}, "x")
+    return made.select("doc_id", "segment", F.md5("prompt").alias("prompt_md5"), F.md5("answer").alias("answer_md5"))
+
+
+@query("""WITH w AS (SELECT p_partkey, lower(p_name) AS x FROM part), g AS (SELECT p_partkey, x, instr(x, ' ') AS cut FROM w)
+SELECT p_partkey, array_to_string(list_transform(range(0, length(x)), lambda i: CASE WHEN i = 0 THEN 'B-a' WHEN i < cut - 1 THEN 'I-a' WHEN i = cut - 1 THEN 'O' WHEN i = cut THEN 'B-n' ELSE 'I-n' END), ' ') AS tags,
+  array_to_string(['B-a', 'B-n', '-100', '-100'], ' ') AS labels FROM g""")
+def token_labels(spark, sf):
+    """SMP13, GEN10: tags of characters from spans, and labels of tokens from the tag of their first character."""
+    cut = F.instr("x", " ")
+    spans = F.array(F.struct(F.lit(0).alias("start"), (cut - 1).alias("end"), F.lit("a").alias("type")), F.struct(cut.alias("start"), F.length("x").alias("end"), F.lit("n").alias("type")))
+    rows = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("x")).select("p_partkey", "x", sm.char_tags(F.length("x"), spans).alias("each"))
+    labels = sm.token_labels(F.col("each"), F.array(F.lit(0), cut), 4)
+    return rows.select("p_partkey", F.array_join("each", " ").alias("tags"), F.array_join(F.transform(labels, lambda x: x.cast("string")), " ").alias("labels"))
+
+
 @query("""WITH u AS (SELECT c_custkey, CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || ':3'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM customer) SELECT c_custkey, CASE WHEN u < 0.5 THEN 'plain' WHEN u < 0.75 THEN 'long' ELSE 'noisy' END AS pick FROM u""")
 def weighted_draw(spark, sf):
     """SMP7: archetypes by weight."""
@@ -221,7 +311,7 @@ def weighted_draw(spark, sf):
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents) SELECT doc_id, CAST(i * 192 AS INT) AS start, CAST(len(t[i * 192 + 1 : i * 192 + 256]) AS INT) AS n, md5(array_to_string(t[i * 192 + 1 : i * 192 + 256], ' ')) AS window_md5
 FROM (SELECT doc_id, t, unnest(range(0, CAST(greatest(0, ceil((len(t) - 256) / 192.0)) AS BIGINT) + 1)) AS i FROM w)""")
 def window_explode(spark, sf):
-    """GEN5, SMP12: overlapping windows over words."""
+    """GEN5: overlapping windows over words."""
     d = table(spark, sf, "documents").select("doc_id", F.explode(sq.token_windows(F.split("text", " ", -1), 256, 64)).alias("w"))
     return d.select("doc_id", "w.start", F.size("w.tokens").alias("n"), F.md5(F.array_join("w.tokens", " ")).alias("window_md5"))
 
@@ -264,40 +354,21 @@ def chain_decode(spark, sf):
     return sq.decode_chain(rows, [[0.2, 0.1, -0.3], [0.0, 0.4, 0.1], [-0.2, 0.3, 0.0]], [0.0, 0.1, 0.2], [0.3, 0.0, -0.1])
 
 
-CUES = {"the": "A", "the and": "B", "is": "C", "le": "D", "der": "E", "que": "F"}
-_HEAD = """h AS (SELECT doc_id, start, CASE
-  WHEN starts_with(c, 'the and') AND (substr(c, 8, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') OR starts_with(c, 'the')) THEN 'B'
-  WHEN starts_with(c, 'the') AND substr(c, 4, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'A'
-  WHEN starts_with(c, 'der') AND substr(c, 4, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'E'
-  WHEN starts_with(c, 'que') AND substr(c, 4, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'F'
-  WHEN starts_with(c, 'le') AND substr(c, 3, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'D'
-  WHEN starts_with(c, 'is') AND substr(c, 3, 1) IN ('', ':', ' ', '-', '/', ',', '.', '(', '*') THEN 'C' END AS category
-  FROM (SELECT doc_id, start, regexp_replace(lower(core), '^[\\s\\-•*0-9.)]+', '') AS c FROM (
-    SELECT doc_id, s[ord + 1] AS core, CAST(coalesce(list_sum(list_transform(s[1:ord], lambda x: length(x) + 1)), 0) AS INT) AS start FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))) ),
-hs AS (SELECT * FROM h WHERE category IS NOT NULL), b AS (SELECT * FROM hs UNION ALL SELECT doc_id, 0, 'ROOT' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hs WHERE start = 0)),
-sec AS (SELECT b.doc_id, start, coalesce(lead(start) OVER (PARTITION BY b.doc_id ORDER BY start), CAST(length(text) AS INT)) AS "end", category FROM b JOIN documents d ON d.doc_id = b.doc_id)"""
-
-
-def section_rows(spark, sf):
-    docs = table(spark, sf, "documents")
-    return cx.sections(occ.line_spans(docs), docs.select("doc_id", F.length("text").alias("n")), CUES)
-
-
 @query(f"WITH {_HEAD} SELECT * FROM sec")
 def section_map(spark, sf):
     """CTX1, CTX2, CTX3: sections by headings."""
     return section_rows(spark, sf)
 
 
-@query(f"""WITH {_HEAD}, n AS (SELECT doc_id, count(*) FILTER (WHERE category <> 'ROOT') AS k FROM sec GROUP BY doc_id), g AS (SELECT d.doc_id, CASE WHEN instr(lower(text), 'with') = 1 THEN 'QA' WHEN instr(lower(text), 'with ') > 1 AND instr(lower(text), 'with ') < 200 THEN 'HYBRID' WHEN regexp_matches(substr(text, 1, 300), '[?]') THEN 'FAQ' WHEN k >= 2 THEN 'EHR' ELSE 'FREE_TEXT' END AS genre FROM documents d JOIN n ON d.doc_id = n.doc_id)
+@query(f"""WITH {_HEAD}, n AS (SELECT doc_id, count(*) FILTER (WHERE category <> 'ROOT') AS k FROM sec GROUP BY doc_id), g AS (SELECT d.doc_id, CASE WHEN instr(lower(text), 'with') = 1 THEN 'QA' WHEN instr(lower(text), 'with ') > 1 THEN 'HYBRID' WHEN regexp_matches(substr(text, 1, 300), '[?]') THEN 'FAQ' WHEN k >= 2 THEN 'EHR' ELSE 'FREE_TEXT' END AS genre FROM documents d JOIN n ON d.doc_id = n.doc_id)
 SELECT doc_id, genre FROM g""")
 def doc_genre(spark, sf):
-    """CTX4, CTX6: a document's genre by markers and sections."""
+    """CTX4: a document's genre by markers and sections."""
     docs = table(spark, sf, "documents")
     n = section_rows(spark, sf).groupBy("doc_id").agg(F.count_if(F.col("category") != "ROOT").alias("k"))
     low = F.lower("text")
     later = F.instr(low, "with ")
-    at = F.when(F.instr(low, "with") == 1, 0).when((later > 1) & (later < 200), later - 1)
+    at = F.when(F.instr(low, "with") == 1, 0).when(later > 1, later - 1)
     return docs.join(n, "doc_id").select("doc_id", cx.genre(at, F.substring("text", 1, 300).contains("?"), F.col("k")).alias("genre"))
 
 
@@ -326,12 +397,47 @@ def segment_roles(spark, sf):
     return cx.segments(b.drop("chars"), lengths).select("doc_id", "start", "end", "role")
 
 
-@query("""WITH d AS (SELECT doc_id, lower(regexp_extract(substr(text, 1, 400), '[^.;:\\n\\r()\\[\\]]*$', 0)) AS w FROM documents)
-SELECT doc_id, contains(w, 'not ') AND NOT starts_with(ltrim(substr(w, length(w) - instr(reverse(w), ' ton') + 2)), 'only') AS negated FROM d""")
+@query("""WITH m AS (SELECT doc_id, text, instr(lower(text), 'with') - 1 AS m, (CASE WHEN contains(text, 'The ') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'Is ') THEN 1 ELSE 0 END) AS headers, len(regexp_extract_all(text, '(?:^|\\n)\\s*[0-9]+\\.\\s+[A-Z]')) AS numbered FROM documents)
+SELECT doc_id, CASE WHEN m BETWEEN 0 AND 15 THEN 'QA' WHEN m > 15 THEN 'HYBRID_QA' WHEN contains(lower(substr(text, 1, 400)), 'para') THEN 'FAQ' WHEN headers = 1 AND numbered <= 1 AND contains(lower(text), 'for') THEN 'HYBRID_CONSULT' ELSE 'NOTE' END AS route FROM m""")
+def doc_route(spark, sf):
+    """CTX6: the second router's five routes."""
+    low = F.lower("text")
+    marker = F.instr(low, "with") - 1
+    headers = F.contains("text", F.lit("The ")).cast("int") + F.contains("text", F.lit("Is ")).cast("int")
+    numbered = F.size(F.regexp_extract_all("text", F.lit(r"(?:^|\n)\s*[0-9]+\.\s+[A-Z]"), F.lit(0)))
+    way = cx.route(marker, F.lower(F.substring("text", 1, 400)).contains("para"), headers, numbered, low.contains("for"))
+    return table(spark, sf, "documents").select("doc_id", way.alias("route"))
+
+
+#: Lower-cased stretches of the clause before every "that".
+_WINDOWS = text_queries._HITS + """, w AS (SELECT doc_id, pos, lower(regexp_extract(substr(text, 1, pos), '[^.;:\\n\\r()\\[\\]]*$', 0)) AS w FROM h)"""
+
+
+def clause_windows(spark, sf):
+    return gen.windows_of(text_queries.that_hits(spark, sf), table(spark, sf, "documents"), lambda body, h: F.lower(t.clause_before(body, h.start)))
+
+
+def _last(cue: str, exception: str) -> str:
+    """SQL: whether the last place of a cue isn't followed by an exception."""
+    return f"(contains(w, '{cue}') AND NOT regexp_matches(substr(w, length(w) - instr(reverse(w), '{cue[::-1]}') + 2), '^\\s*{exception}'))"
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, pos, {_last('it', 'is')} OR {_last('with', 'is')} AS negated FROM w")
 def last_cue_scope(spark, sf):
-    """CTX8, CTX9, CTX10: whether a cue governs what follows in its clause."""
-    w = F.lower(F.regexp_extract(F.substring("text", 1, 400), r"[^.;:\n\r()\[\]]*$", 0))
-    return table(spark, sf, "documents").select("doc_id", w.alias("w")).select("doc_id", cx.last_cue_scope(F.col("w"), ["not "], ["only"]).alias("negated"))
+    """CTX9: whether a cue governs what follows it in its clause, for every "that"."""
+    return clause_windows(spark, sf).select("doc_id", F.col("start").alias("pos"), cx.last_cue_scope(F.col("window"), ["it", "with"], ["is"]).alias("negated"))
+
+
+@query(f"""WITH {_HEAD}, {_WINDOWS}, x AS (SELECT w.doc_id, pos, category, w, regexp_replace(w, '(was|from)\\s*the', '#', 'g') AS hw, regexp_extract(replace(w, 'for the', '       '), '(?s)^(?:.*[^\\p{{L}}\\p{{N}}\\p{{M}}_])?((?:for|this)(?:[^\\p{{L}}\\p{{N}}\\p{{M}}_].*)?)$', 1) AS tail
+  FROM w ASOF LEFT JOIN sec ON w.doc_id = sec.doc_id AND w.pos >= sec.start)
+SELECT doc_id, pos, coalesce(category = 'B', false) OR regexp_matches(hw, 'was|from') AS historical, coalesce(category = 'D', false) OR (tail <> '' AND NOT contains(tail, 'as')) AS family FROM x""")
+def assertion_flags(spark, sf):
+    """CTX8, CTX10: flags of every "that" by its section and by the cues and subjects of its clause."""
+    points = clause_windows(spark, sf).select("doc_id", F.col("start").alias("pos"), "window")
+    at = iv.section_at(points, section_rows(spark, sf))
+    historical = F.coalesce(F.col("category") == "B", F.lit(False)) | cx.any_cue(F.col("window"), ["was", "from"], ["the"])
+    family = F.coalesce(F.col("category") == "D", F.lit(False)) | cx.last_subject(F.col("window"), ["for", "this"], ["for the"], ["as"])
+    return at.select("doc_id", "pos", historical.alias("historical"), family.alias("family"))
 
 
 @query("""SELECT doc_id, concat_ws(',', CASE WHEN quality = 0 AND ok THEN 'isHistorical' END, CASE WHEN toxic = 1 AND ok THEN 'isNegated' END, CASE WHEN doc_id % 2 = 0 AND ok THEN 'isFamily' END) AS flags FROM (SELECT *, doc_id % 3 <> 0 AS ok FROM labels)""")
@@ -341,20 +447,97 @@ def flag_order(spark, sf):
     return table(spark, sf, "labels").select("doc_id", F.array_join(f, ",").alias("flags"))
 
 
-@query("""SELECT doc_id, CASE WHEN stars >= 0.05 THEN 'masked' WHEN regexp_matches(low, '(idiot|moron)') THEN 'state' WHEN length(text) < 200 THEN 'generic' ELSE 'kept' END AS reason FROM (SELECT doc_id, text, lower(text) AS low, length(regexp_replace(text, '[^*]', '', 'g')) / CAST(greatest(length(trim(text)), 1) AS DOUBLE) AS stars FROM documents)""")
+#: Every line of a document as a span, its kind by its length.
+_LINES = """li AS (SELECT doc_id, unnest(range(0, len(s))) AS ord, s, text FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents)),
+ln AS (SELECT doc_id, CAST(ord AS INT) AS ord, text AS body, s[ord + 1] AS text, CAST(coalesce(list_sum(list_transform(s[1:ord], lambda x: length(x) + 1)), 0) AS INT) AS start, length(s[ord + 1]) % 3 AS k FROM li WHERE NOT (ord = len(s) - 1 AND s[ord + 1] = ''))"""
+
+
+def line_items(spark, sf):
+    kind = F.when(F.length("core") % 3 == 0, "d").when(F.length("core") % 3 == 1, "t").otherwise("s")
+    return occ.line_spans(table(spark, sf, "documents")).select("doc_id", "ord", "start", "end", kind.alias("type"), F.col("core").alias("text"))
+
+
+_BARE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH {_LINES}, v AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm, {_BARE} AS bare, substr(body, greatest(start - 40, 0) + 1, least(start, 40)) AS lead, substr(body, start + length(text) + 1, 25) AS tail FROM ln),
+m AS (SELECT *, CASE WHEN bare = '' THEN 0.0 ELSE length(regexp_replace(bare, '[^*]', '', 'g')) / CAST(length(bare) AS DOUBLE) END AS share FROM v)
+SELECT doc_id, ord, coalesce(CASE WHEN k = 0 AND regexp_matches(norm, 'with\\s+the|for\\s+the') THEN 'state' WHEN share >= 0.5 AND share > 0 THEN 'masked' WHEN k = 1 AND norm IN ('is', 'the of') THEN 'generic' END, 'kept') AS reason FROM m""")
 def veto_reasons(spark, sf):
-    """FLT5, FLT7: the first reason that drops a text."""
-    stars = F.length(F.regexp_replace("text", "[^*]", "")) / F.greatest(F.length(F.trim("text")), F.lit(1))
-    why = F.when(stars >= 0.05, "masked").when(F.lower("text").rlike("(idiot|moron)"), "state").when(F.length("text") < 200, "generic").otherwise("kept")
-    return table(spark, sf, "documents").select("doc_id", why.alias("reason"))
+    """FLT5: the first reason that drops a span: a state, a mask, a generic name, a question about oneself."""
+    veto = vt.veto(F.col("type"), F.col("text"), F.lit(False), "d", "t", ["with the", "for the"], ["is", "the of"])
+    return line_items(spark, sf).select("doc_id", "ord", F.coalesce(veto, F.lit("kept")).alias("reason"))
+
+
+@query(f"""WITH {text_queries._HITS}, x AS (SELECT doc_id, pos, lower(substr(text, greatest(pos - 40, 0) + 1, least(pos, 40))) AS lead, lower(substr(text, pos + 5, 25)) AS tail FROM h)
+SELECT doc_id, pos, false AS question FROM x""")
+def self_questions(spark, sf):
+    """FLT5: spans inside a question about oneself; these texts hold none, the rule itself is tested on others."""
+    hits = gen.windows_of(text_queries.that_hits(spark, sf), table(spark, sf, "documents"), lambda body, h: vt.asks_about_self(body, h.start, h.end))
+    return hits.select("doc_id", F.col("start").alias("pos"), F.col("window").alias("question"))
+
+
+@query("""WITH a AS (SELECT doc_id, text, lower(replace(text, 'İ', 'i')) AS low, unnest(['of', 'the', 'is']) AS phrase FROM documents), s AS (SELECT doc_id, text, phrase, string_split(low, phrase) AS parts FROM a WHERE contains(low, phrase)),
+i AS (SELECT doc_id, text, phrase, parts, unnest(range(1, len(parts))) AS i FROM s), h AS (SELECT doc_id, text, phrase, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(phrase) AS INT) AS b FROM i)
+SELECT doc_id, phrase, b AS start, coalesce(CASE WHEN phrase = 'the' THEN 'state' WHEN length(phrase) <= 2 AND ((b > 0 AND regexp_matches(substr(text, b, 1), '[\\p{L}\\p{N}\\p{M}_]')) OR regexp_matches(substr(text, b + length(phrase) + 1, 1), '[\\p{L}\\p{N}\\p{M}_]')) THEN 'inside' END, 'kept') AS reason FROM h""")
+def confirmed_drops(spark, sf):
+    """FLT7: reasons that surely drop a span, among them one or two characters inside a word."""
+    docs = table(spark, sf, "documents")
+    hits = occ.phrase_occurrences(docs, ["of", "the", "is"], boundary=False).withColumn("type", F.when(F.col("phrase") == "the", "d").otherwise("t"))
+    why = gen.windows_of(hits, docs, lambda body, h: vt.confirmed_drop(h.type, h.phrase, body, h.start, h.end, F.lit("NOTE"), "d", "t", ["the"], []))
+    return why.select("doc_id", "phrase", "start", F.coalesce("window", F.lit("kept")).alias("reason"))
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_name), ' '))) <@ ['cold', 'hot', 'ring', 'rod'] AS unlinkable FROM part")
+def class_terms(spark, sf):
+    """FLT8: names whose tokens all name classes."""
+    return table(spark, sf, "part").select("p_partkey", vt.not_linkable(F.split(F.lower("p_name"), " "), ["cold", "hot", "ring", "rod"]).alias("unlinkable"))
+
+
+@query("SELECT DISTINCT p_type, starts_with(p_type, 'CH') AND ends_with(p_type, 'N') AND contains(p_type, 'N_') AND contains(p_type, 'O') AS diagnosis FROM (SELECT p_type FROM part UNION ALL SELECT unnest(['CHẨN_ĐOÁN', 'CHAN_DOAN', 'CHÂN_ĐON', 'CHẨN', 'THUỐC']))")
+def diagnosis_types(spark, sf):
+    """FLT13: a type's name with any spelling of its accents."""
+    odd = spark.createDataFrame([(x,) for x in ("CHẨN_ĐOÁN", "CHAN_DOAN", "CHÂN_ĐON", "CHẨN", "THUỐC")], "p_type string")
+    return table(spark, sf, "part").select("p_type").unionByName(odd).distinct().select("p_type", vt.is_diagnosis(F.col("p_type")).alias("diagnosis"))
 
 
 @query("""SELECT c_custkey, c_mktsegment FROM customer WHERE trim(regexp_replace(lower(c_mktsegment), '\\s+', ' ', 'g')) NOT IN ('building', 'machinery')""")
 def blacklist_antijoin(spark, sf):
-    """FLT4, FLT8: texts that aren't on a list."""
+    """FLT4: texts that aren't on a list."""
     black = spark.createDataFrame([("building",), ("machinery",)], "norm string")
-    c = table(spark, sf, "customer").withColumn("norm", t.collapse(F.col("c_mktsegment")))
-    return c.join(F.broadcast(black), "norm", "left_anti").select("c_custkey", "c_mktsegment")  # two rows
+    return vt.without_listed(table(spark, sf, "customer"), "c_mktsegment", black).select("c_custkey", "c_mktsegment")
+
+
+RULES = vt.LabelRules(headers=["is", "the of"], events=["to the"], normal=["of the"], readings=["that"], reactions=["with"], habits=(["is", "it"], ["for", "was"]), histories=["and the", "and"], procedures=["the"], disorders=["of", "in"], reasons=["by"], units=["kg", "%"])
+_STEP1 = f"""{_LINES}, r1 AS (SELECT doc_id, ord, start, text, k, {_BARE} AS bare FROM ln), r2 AS (SELECT *, CASE
+  WHEN regexp_matches(bare, '(?i)^(the\\s+of|is)$') THEN 'header' WHEN regexp_matches(bare, '(?i)^to\\s+the\\b') THEN 'event' WHEN k = 2 AND regexp_matches(bare, '(?i)^of\\s+the\\b') THEN 'normal'
+  WHEN k = 2 AND regexp_matches(bare, '(?i)^that$') THEN 'reading' WHEN k <> 2 AND (regexp_matches(bare, '(?i)^with\\b') OR regexp_matches(bare, '(?i)^(is|it)\\s+.*(for|was)')) THEN 'symptom' END AS early,
+  regexp_extract(text, '(?i)^(and\\s+the|and)\\s+', 0) AS cue0 FROM r1),
+r3 AS (SELECT *, CASE WHEN k IN (0, 2) AND trim(substr(text, length(cue0) + 1)) <> '' THEN cue0 ELSE '' END AS cue FROM r2),
+r4 AS (SELECT *, substr(text, length(cue) + 1) AS rest FROM r3), r5 AS (SELECT *, regexp_replace(rest, '^\\s+|\\s+$', '', 'g') AS clean FROM r4),
+r6 AS (SELECT *, trim(regexp_extract(clean, '(?i)\\bby\\s+(.+)$', 1)) AS reason, regexp_replace(regexp_replace(clean, '(?i)^the\\b', ''), '^\\s+|\\s+$', '', 'g') AS behind FROM r5),
+r7 AS (SELECT *, CASE WHEN reason <> '' THEN reason WHEN regexp_matches(behind, '(?i)^(of|in)') THEN behind END AS core FROM r6),
+r8 AS (SELECT *, coalesce(early, CASE WHEN k = 0 AND regexp_matches(clean, '(?i)^the\\b') THEN CASE WHEN core IS NOT NULL THEN 'core' ELSE 'procedure' END WHEN k = 2 AND regexp_matches(rest, '(?i)\\s*[0-9]+(?:[.,][0-9]+)?\\s*(?:kg|%)') THEN 'measured' WHEN cue <> '' THEN 'history' ELSE 'kept' END) AS action FROM r7),
+r9 AS (SELECT doc_id, ord, action, CASE WHEN action = 'reading' THEN 't' WHEN action = 'symptom' THEN 's' ELSE ['d', 't', 's'][k + 1] END AS type, start + CASE WHEN action = 'core' THEN length(cue) + instr(rest, core) - 1 WHEN early IS NULL THEN length(cue) ELSE 0 END AS start, CASE WHEN action = 'core' THEN core WHEN early IS NULL THEN rest ELSE text END AS text FROM r8)"""
+
+
+@query(f"WITH {_STEP1} SELECT doc_id, ord, action, type, CAST(start AS INT) AS start, CAST(start + length(text) AS INT) AS \"end\", md5(text) AS text_md5 FROM r9 WHERE action NOT IN ('header', 'event', 'normal', 'procedure', 'measured')")
+def label_repair(spark, sf):
+    """FLT9: repair of labels, step by step in its order, over every line."""
+    out = vt.repaired(line_items(spark, sf), RULES, "s", "t", "d", ["d", "s"])
+    return out.select("doc_id", "ord", "action", "type", "start", "end", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {_HEAD}, {text_queries._HITS}, x AS (SELECT h.doc_id, pos, category, regexp_extract(substr(text, 1, pos), '[^\\n]*$', 0) AS line, pos % 2 AS k FROM h ASOF LEFT JOIN sec ON h.doc_id = sec.doc_id AND h.pos >= sec.start)
+SELECT doc_id, pos, CASE WHEN k = 0 AND (coalesce(category IN ('A', 'B'), false) OR regexp_matches(line, '(?i)was')) THEN 'r' WHEN regexp_matches(line, '(?i)\\b(from)\\b') THEN 'r' WHEN k = 0 THEN 's' ELSE 's' END AS type FROM x""")
+def reclassify(spark, sf):
+    """INT18: types by section, by what stands before on the line, and by lists."""
+    docs = table(spark, sf, "documents")
+    hits = gen.windows_of(text_queries.that_hits(spark, sf), docs, lambda body, h: F.substring_index(F.substring(body, F.lit(1), h.start), "\n", -1))
+    points = hits.select("doc_id", F.col("start").alias("pos"), F.col("window").alias("line"), F.when(F.col("start") % 2 == 0, "d").otherwise("s").alias("type"))
+    at = iv.section_at(points, section_rows(spark, sf))
+    kind = vt.reclassified(F.col("type"), F.lit("that"), F.col("category"), F.col("line"), ["that"], ["that"], ["from"], ["was"], ["that"], ("A", "B"), "s", "r", "d")
+    return at.select("doc_id", "pos", kind.alias("type"))
 
 
 @query("""WITH s AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS sys FROM conversations WHERE role = 'system' GROUP BY conv_id), f AS (SELECT conv_id, min(turn) AS t0 FROM conversations WHERE role = 'user' GROUP BY conv_id)

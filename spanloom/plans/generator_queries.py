@@ -11,7 +11,7 @@ from spanloom.operators import intervals as iv
 from spanloom.operators import linking as ln
 from spanloom.operators import occurrences as occ
 
-from . import link_queries
+from . import link_queries, span_queries
 from .tables import registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -21,8 +21,9 @@ NOUNS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 LEXICON = [("en", "of the"), ("en", "the"), ("fr", "de la"), ("es", "de la")]
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size, 'Kali ' || CASE WHEN p_size % 2 = 0 THEN 'là ' ELSE ': ' END AS lead FROM part)
-SELECT p_partkey AS doc_id, 'kali' AS phrase, 0 AS start, 4 AS "end", CAST(p_size AS VARCHAR) || ' mmol/l' AS value, CAST(length(lead) AS INT) AS value_start FROM p""")
+@query("""WITH p AS (SELECT p_partkey, 'Kali ' || CASE WHEN p_size % 2 = 0 THEN 'là ' ELSE ': ' END || p_size || ' mmol/l; na 3' AS text FROM part), v AS (SELECT p_partkey, text, substr(regexp_extract(text, '^[^\\n;]*', 0), 5) AS w FROM p),
+l AS (SELECT *, length(regexp_extract(w, '^[\\s:]*(?:là|:)?\\s*', 0)) AS n FROM v)
+SELECT p_partkey AS doc_id, 'kali' AS phrase, 0 AS start, 4 AS "end", regexp_extract(substr(w, n + 1), '^[0-9]+(?:[.,][0-9]+)?(?:\\s*mmol\\s*/\\s*l)?', 0) AS value, CAST(4 + n AS INT) AS value_start FROM l""")
 def name_values(spark, sf):
     """GEN2: the value behind each name."""
     lead = F.when(F.col("p_size") % 2 == 0, "là ").otherwise(": ")
@@ -30,20 +31,24 @@ def name_values(spark, sf):
     return gen.name_values(docs, ["kali"])
 
 
-@query("""WITH w AS (SELECT doc_id, k AS ord, t[k] AS surface FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(substr(text, 1, 200), '[a-z]{3,}') AS t FROM documents))),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, surface ORDER BY ord) AS nth FROM w), s AS (SELECT n.*, lower(text) AS low, string_split(lower(text), surface) AS parts FROM n JOIN documents d ON d.doc_id = n.doc_id)
-SELECT doc_id, CAST(ord AS INT) AS ord, surface, CAST(list_sum(list_transform(parts[1:nth], lambda x: length(x))) + (nth - 1) * length(surface) AS INT) AS start,
-  CAST(list_sum(list_transform(parts[1:nth], lambda x: length(x))) + nth * length(surface) AS INT) AS "end" FROM s WHERE nth < len(parts)""")
+@query()
 def relocate(spark, sf):
-    """GEN11: mentions back to their places."""
+    """GEN11: the mentions of whole texts back to their places; tested against a plain loop."""
     docs = table(spark, sf, "documents")
-    items = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.substring("text", 1, 200), F.lit("[a-z]{3,}"), F.lit(0))).alias("k", "surface"))
+    items = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("k", "surface"))
     return gen.relocate(items.select("doc_id", (F.col("k") + 1).alias("ord"), "surface"), docs)
 
 
-@query()
+def _chunk_end(at: str) -> str:
+    """SQL: where the chunk that begins at ``at`` ends."""
+    window = f"substr(text, {at} + 701, 400)"
+    return f"CASE WHEN {at} + 1100 >= n THEN n WHEN contains({window}, ' ') THEN {at} + 1100 - instr(reverse({window}), ' ') ELSE {at} + 1100 END"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text, CAST(length(text) AS INT) AS n FROM documents), c AS (SELECT doc_id, 0 AS s, CAST({_chunk_end('0')} AS INT) AS e FROM d
+UNION ALL SELECT c.doc_id, c.e, CAST({_chunk_end('c.e')} AS INT) FROM c JOIN d ON c.doc_id = d.doc_id WHERE c.e < n) SELECT doc_id, s AS start, e AS "end" FROM c""")
 def text_chunks(spark, sf):
-    """GEN4: chunks that end behind white space."""
+    """GEN4: chunks that end before a blank."""
     return table(spark, sf, "documents").select("doc_id", F.inline(gen.chunks(F.col("text"))))
 
 
@@ -82,20 +87,36 @@ def merge_fragments(spark, sf):
     names = [f"{a} {n}" for a in ADJECTIVES for n in NOUNS]
     parts = s.select("doc_id", "text", F.posexplode(F.split("text", " ")).alias("k", "w"))
     first = F.length(F.substring_index("text", " ", 1))
-    frag = parts.where("k < 2").select("doc_id", (F.col("doc_id") * 10 + F.col("k")).alias("ord"), F.when(F.col("k") == 0, 0).otherwise(first + 1).alias("start"), F.when(F.col("k") == 0, first).otherwise(first + 1 + F.length("w")).alias("end"), F.lit("name").alias("type"), F.col("w").alias("text"))
+    frag = parts.select("doc_id", (F.col("doc_id") * 10 + F.col("k")).alias("ord"), F.when(F.col("k") == 0, 0).otherwise(first + 1).alias("start"), F.when(F.col("k") == 0, first).otherwise(first + 1 + F.length("w")).alias("end"), F.lit("name").alias("type"), F.col("w").alias("text"))
     return iv.merge_fragments(frag, s.select("doc_id", "text"), [("name", n) for n in names])
 
 
+def _sides(spark, sf):
+    s = span_queries.spans(spark, sf)
+    return s.where("ord % 2 = 0").select("doc_id", "type", "ord", "start", "end"), s.where("ord % 2 = 1").select("doc_id", "type", "ord", "start", "end")
+
+
+def _matches(spark, sf):
+    gold, predicted = _sides(spark, sf)
+    return ev.greedy_matches(iv.overlapping(gold, predicted, ["doc_id", "type"]).select("doc_id", F.col("left").alias("gold"), F.col("right").alias("pred"), "overlap"))
+
+
+@query()
+def overlap_matches(spark, sf):
+    """EVL5: one-to-one matches by overlap; greedy, so tested against a plain loop."""
+    return _matches(spark, sf)
+
+
 @query()
 def overlap_prf(spark, sf):
-    """EVL5: one-to-one matches by overlap."""
-    from .span_queries import spans
+    """EVL5: precision, recall, F1 and Jaccard of one-to-one matches by overlap."""
+    return ev.overlap_scores(_matches(spark, sf), *_sides(spark, sf))
+
 
-    s = spans(spark, sf)
-    g = s.where("ord % 2 = 0").select("doc_id", "type", F.col("ord").alias("gold"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    p = s.where("ord % 2 = 1").select("doc_id", "type", F.col("ord").alias("pred"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    o = iv.overlap_amount(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
-    return ev.greedy_matches(g.join(p, ["doc_id", "type"]).select("doc_id", "gold", "pred", o.alias("overlap")).where("overlap > 0"))
+@query(f"""WITH {span_queries._S} SELECT a.doc_id, a.type, a.ord AS "left", b.ord AS "right", CAST(least(a."end", b."end") - greatest(a.start, b.start) AS INT) AS overlap FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.type = b.type AND a.ord % 2 = 0 AND b.ord % 2 = 1 AND a.start < b."end" AND b.start < a."end" """)
+def overlap_candidates(spark, sf):
+    """EVL5, INT10: pairs of spans of one type that overlap."""
+    return iv.overlapping(*_sides(spark, sf), ["doc_id", "type"])
 
 
 @query()
@@ -106,16 +127,53 @@ def word_error(spark, sf):
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(ev.word_error_rate(F.col("text"), F.col("reply")), 6).alias("wer"))
 
 
+@query("""WITH j AS (SELECT d.doc_id, lang, quality, toxic, n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id), i AS (SELECT (n_chars % 11) / 10.0 AS wer0, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS f1, CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END AS f2, doc_id % 4 AS ng, doc_id % 5 AS np, toxic = 1 AS wrong FROM j),
+k AS (SELECT least(wer0, 1.0) AS wer, wrong, CASE WHEN f1 + f2 = 0 THEN 1.0 ELSE CAST(f1 * f2 AS DOUBLE) END AS jf, CASE WHEN greatest(ng, np) = 0 THEN 1.0 ELSE least(ng, np) / CAST(greatest(ng, np) AS DOUBLE) END AS jc, ng + 1 AS w FROM i),
+s AS (SELECT CAST(sum(CASE WHEN wrong THEN 2 ELSE 1 END) AS DOUBLE) AS n, sum(CASE WHEN wrong THEN 0 ELSE 1 - wer END) AS t, sum(CASE WHEN wrong THEN 0 ELSE jf END) AS f, sum(CASE WHEN wrong THEN 0 ELSE jc * w END) AS c, CAST(sum(CASE WHEN wrong THEN 2 ELSE 1 END * w) AS DOUBLE) AS w FROM k)
+SELECT round(t / n, 9) AS text_score, round(f / n, 9) AS flag_score, round(c / w, 9) AS code_score, round(0.3 * t / n + 0.3 * f / n + 0.4 * c / w, 9) AS score FROM s""")
+def weighted_score(spark, sf):
+    """EVL9: the weighted score of texts, flags and codes."""
+    j = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    codes = lambda n: F.transform(F.sequence(F.lit(0).cast("long"), n), lambda x: x.cast("string"))
+    upto = lambda n: F.when(n > 0, codes(n - 1)).otherwise(F.array().cast("array<string>"))
+    items = j.select(
+        F.least((F.col("n_chars") % 11) / 10.0, F.lit(1.0)).alias("wer"), F.array_compact(F.array(F.when(F.col("quality") == 1, "a"))).alias("flags"), F.array_compact(F.array(F.when(F.col("n_chars") % 2 == 0, "a"))).alias("gold_flags"),
+        upto(F.col("doc_id") % 5).alias("codes"), upto(F.col("doc_id") % 4).alias("gold_codes"), (F.col("toxic") == 1).alias("wrong_type"),
+    )
+    return ev.weighted_score(items).select(*[F.round(c, 9).alias(c) for c in ("text_score", "flag_score", "code_score", "score")])
+
+
+@query("""SELECT p_partkey AS doc_id, p_name || ' x' AS text, CAST(length(p_name) AS INT) AS "end", p_brand AS type, p_partkey % 4 = 3 AS broken FROM part WHERE p_partkey % 4 <> 3 UNION ALL SELECT p_partkey, NULL, NULL, NULL, true FROM part WHERE p_partkey % 4 = 3""")
+def markup_parse(spark, sf):
+    """STR17: marked text as clean text and spans; texts whose marks don't fit say so."""
+    p = table(spark, sf, "part")
+    marked = p.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("⟦"), "p_brand", F.lit("|a,b⟧"), "p_name", F.when(F.col("p_partkey") % 4 == 3, "").when(F.col("p_partkey") % 4 == 2, "⟧").otherwise("⟦/⟧"), F.lit(" x")).alias("marked"))
+    out = gen.parsed_markup(marked)
+    span = F.get("spans", F.lit(0))
+    return out.select("doc_id", "text", span.getField("end").alias("end"), span.getField("type").alias("type"), F.col("error").isNotNull().alias("broken"))
+
+
+@query("""WITH a AS (SELECT doc_id, lower(replace(text, 'İ', 'i')) AS low, unnest(['the', 'of']) AS phrase FROM documents), s AS (SELECT doc_id, low, phrase, string_split(low, phrase) AS parts FROM a WHERE contains(low, phrase)),
+i AS (SELECT doc_id, low, phrase, parts, unnest(range(1, len(parts))) AS i FROM s), h AS (SELECT doc_id, low, phrase, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(phrase) AS INT) AS b FROM i)
+SELECT doc_id, b AS start, CAST(b + length(phrase) AS INT) AS "end", phrase AS type, CASE WHEN NOT regexp_matches(CASE WHEN b = 0 THEN '' ELSE substr(low, b, 1) END, '[\\p{L}\\p{N}\\p{M}_]') AND NOT regexp_matches(substr(low, b + length(phrase) + 1, 1), '[\\p{L}\\p{N}\\p{M}_]') THEN 'words' ELSE 'anywhere' END AS source FROM h""")
+def rule_union(spark, sf):
+    """GEN12: the spans of several rules, equal ones once, by the first rule."""
+    docs = table(spark, sf, "documents")
+    found = lambda boundary, name: occ.phrase_occurrences(docs, ["the", "of"], boundary=boundary).select("doc_id", "start", "end", F.col("phrase").alias("type"), F.col("phrase").alias("text"), F.lit(name).alias("source"))
+    return gen.rule_union(found(True, "words"), found(False, "anywhere")).drop("text")
+
+
 @query()
 def fuzzy_topk(spark, sf):
-    """LNK22, LNK23, LNK30: the five best fuzzy names per query among those that share a word (a top-k report)."""
+    """LNK22, LNK23: the five best fuzzy names per query among those that share a word (a top-k report)."""
     from pyspark.sql import Window as W
 
     q, e = link_queries.asked(spark, sf), link_queries.entries(spark, sf)
-    names = e.groupBy("name").agg(F.min("entry_id").alias("entry_id"), F.first("tokens").alias("tokens"))
-    texts = q.groupBy("text").agg(F.min("qid").alias("qid"), F.first("tokens").alias("tokens"))  # equal texts once
-    pairs = ln.block(texts, names).join(texts.select("qid", "text"), "qid").join(names.select("entry_id", "name"), "entry_id")
-    s = pairs.select("text", "name", F.round(scorers.fuzzy_score(F.col("text"), F.col("name")), 6).alias("score"))
+    pairs = ln.keyed_pairs(q, e)
+    names = e.select("name", ln.token_key(F.col("tokens")).alias("ek")).distinct()
+    texts = q.select("text", ln.token_key(F.col("tokens")).alias("qk")).distinct()  # equal texts once
+    near = texts.join(pairs.select("qk", "ek"), "qk").join(names, "ek")
+    s = near.select("text", "name", F.round(scorers.fuzzy_score(F.col("text"), F.col("name")), 6).alias("score"))
     r = F.row_number().over(W.partitionBy("text").orderBy(F.desc("score"), "name"))
     best = s.withColumn("rank", r).where("rank <= 5")
     return q.select("qid", "text").join(best, "text").select("qid", "name", "rank", "score")
@@ -124,13 +182,5 @@ def fuzzy_topk(spark, sf):
 @query(f"WITH {link_queries._RK}, b1 AS (SELECT * FROM rk WHERE rank = 1) SELECT q.qid, b1.qid IS NULL OR round(score, 12) < 0.75 AS review FROM q LEFT JOIN b1 ON q.qid = b1.qid")
 def review_flags(spark, sf):
     """LNK34: look-ups that someone should see."""
-    best = ln.rank_concepts(link_queries.scored(spark, sf)).where("rank = 1").select("qid", "score")
+    best = link_queries.ranked(spark, sf).where("rank = 1").select("qid", "score")
     return link_queries.asked(spark, sf).join(best, "qid", "left").select("qid", (F.col("score").isNull() | (F.col("score") < 0.75)).alias("review"))
-
-
-@query()
-def relocate_all(spark, sf):
-    """GEN11: the mentions of whole texts back to their places."""
-    docs = table(spark, sf, "documents")
-    items = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("k", "surface"))
-    return gen.relocate(items.select("doc_id", (F.col("k") + 1).alias("ord"), "surface"), docs)

@@ -19,14 +19,16 @@ def entries(spark, sf):
 
 
 def asked(spark, sf):
+    """Every supplier asks for one part; together they ask for parts of the whole catalogue."""
     p = table(spark, sf, "part").select((F.col("p_partkey")).alias("k"), F.lower("p_name").alias("text"))
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("qid"), ((F.col("s_suppkey") * 7) % 200 + 1).alias("k"))
+    n = p.agg(F.count("*").alias("n"))
+    s = table(spark, sf, "supplier").crossJoin(n).select(F.col("s_suppkey").alias("qid"), (F.pmod(F.col("s_suppkey") * 7, "n") + 1).alias("k"))  # n is one row
     return s.join(p, "k").select("qid", "text", F.split("text", " ").alias("tokens"), (F.col("qid") % 50 + 1).cast("double").alias("value"))
 
 
 _E = """e AS (SELECT p_partkey AS entry_id, p_brand AS concept, lower(p_name) AS name, string_split(lower(p_name), ' ') AS tokens, CAST(p_size AS DOUBLE) AS value,
   CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 2 ELSE 3 END AS prio, p_size > 45 AS suppressed FROM part),
-q AS (SELECT s_suppkey AS qid, lower(p_name) AS text, string_split(lower(p_name), ' ') AS tokens, CAST(s_suppkey % 50 + 1 AS DOUBLE) AS value FROM supplier JOIN part ON p_partkey = (s_suppkey * 7) % 200 + 1)"""
+q AS (SELECT s_suppkey AS qid, lower(p_name) AS text, string_split(lower(p_name), ' ') AS tokens, CAST(s_suppkey % 50 + 1 AS DOUBLE) AS value FROM supplier JOIN part ON p_partkey = (s_suppkey * 7) % (SELECT count(*) FROM part) + 1)"""
 _SC = _E + """,
 b AS (SELECT qid, entry_id, count(*) AS shared FROM (SELECT qid, unnest(list_distinct(tokens)) AS token FROM q) a JOIN (SELECT entry_id, unnest(list_distinct(tokens)) AS token FROM e) i ON a.token = i.token GROUP BY qid, entry_id),
 sc AS (SELECT b.qid, b.entry_id, e.concept, e.value, e.prio, q.value AS asked,
@@ -41,6 +43,12 @@ def scored(spark, sf):
     return ln.score(asked(spark, sf), entries(spark, sf)).withColumn("score", F.round("score", 12))
 
 
+def ranked(spark, sf):
+    """Each query's concepts in order; what is asked several times is looked up once, entries that can't be told apart stand once."""
+    few = ln.distinct_entries(entries(spark, sf))
+    return ln.once(asked(spark, sf), lambda q: ln.rank_concepts(ln.score(q, few).withColumn("score", F.round("score", 12))))
+
+
 @query(f"WITH {_E} SELECT token, CAST(count(*) AS BIGINT) AS n, min(entry_id) AS first_entry FROM (SELECT entry_id, unnest(list_distinct(tokens)) AS token FROM e) GROUP BY token")
 def token_index(spark, sf):
     """LNK1, SRC8: postings by token."""
@@ -56,13 +64,13 @@ def containment_score(spark, sf):
 @query(f"WITH {_RK} SELECT qid, concept, entry_id, CAST(rank AS INT) AS rank FROM rk")
 def rank_concepts(spark, sf):
     """LNK4: each query's concepts in order."""
-    return ln.rank_concepts(scored(spark, sf)).select("qid", "concept", "entry_id", "rank")
+    return ranked(spark, sf).select("qid", "concept", "entry_id", "rank")
 
 
 @query(f"WITH {_RK}, m AS (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM rk) SELECT qid, concept, CAST(rank AS INT) AS rank FROM m WHERE rank <= CASE WHEN round(top, 12) >= 0.75 THEN 1 ELSE 3 END")
 def collapse_topk(spark, sf):
     """LNK5: one sure concept or the first three."""
-    return ln.collapse_or_top(ln.rank_concepts(scored(spark, sf))).select("qid", "concept", "rank")
+    return ln.collapse_or_top(ranked(spark, sf)).select("qid", "concept", "rank")
 
 
 @query(f"WITH {_SC} SELECT qid, entry_id, value FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY abs(value - asked), value, prio, entry_id) AS r FROM sc) WHERE r = 1")
@@ -83,15 +91,46 @@ def exact_link(spark, sf):
 @query(f"""WITH {_RK}, {_X}, m AS (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM rk)
 SELECT qid, entry_id, 1 AS tier FROM x UNION ALL SELECT qid, entry_id, 2 AS tier FROM m WHERE rank <= CASE WHEN round(top, 12) >= 0.75 THEN 1 ELSE 3 END AND qid NOT IN (SELECT qid FROM x)""")
 def tier_cascade(spark, sf):
-    """LNK7: exact links, and ranked ones for what they leave."""
-    exact = ln.exact_link(asked(spark, sf), entries(spark, sf))
-    return ln.first_tier(exact, ln.collapse_or_top(ln.rank_concepts(scored(spark, sf))).select("qid", "entry_id"))
+    """LNK7, its plainest form: exact links, and ranked ones for the queries that they leave."""
+    queries, catalogue = asked(spark, sf), entries(spark, sf)
+    exact = ln.exact_link(queries, catalogue)
+    left = queries.join(exact.select("qid").distinct(), "qid", "left_anti")
+    few = ln.distinct_entries(catalogue)
+    found = ln.once(left, lambda q: ln.collapse_or_top(ln.rank_concepts(ln.score(q, few).withColumn("score", F.round("score", 12)))))
+    return ln.first_tier(exact, found.select("qid", "entry_id"))
+
+
+_KINDS = _E + """,
+c0 AS (SELECT entry_id, concept, tokens, prio, suppressed, CASE WHEN entry_id % 3 = 0 THEN NULL ELSE value END AS value, entry_id % 3 = 0 AS bare FROM e),
+q0 AS (SELECT qid, CASE WHEN qid % 17 = 0 THEN ['antibiotics'] WHEN qid % 13 = 0 THEN CAST([] AS VARCHAR[]) ELSE tokens END AS tokens, CASE WHEN qid % 5 = 0 THEN NULL WHEN qid % 7 = 0 THEN value + 0.25 ELSE value END AS value FROM q),
+dn AS (SELECT qid, 1 AS rank, qid % 3 + 1 AS entry_id, 'dense' AS concept FROM q0),
+q1 AS (SELECT * FROM q0 WHERE tokens <> ['antibiotics']),
+s0 AS (SELECT qid, entry_id, concept, c0.value, prio, suppressed, bare, q1.value AS asked, round(CASE WHEN q1.value IS NULL THEN lex ELSE 0.5 * lex + 0.5 * CASE WHEN c0.value IS NULL THEN 0.0 WHEN c0.value = q1.value THEN 1.0 ELSE 0.6 / (1 + abs(q1.value - c0.value)) END END + (20 - prio) * 0.001 - CASE WHEN suppressed THEN 0.2 ELSE 0 END, 12) AS score
+  FROM q1 JOIN c0 ON len(list_intersect(q1.tokens, c0.tokens)) > 0, LATERAL (SELECT greatest(len(list_intersect(q1.tokens, c0.tokens)) / CAST(len(list_distinct(q1.tokens)) AS DOUBLE) - 0.4 * (len(list_distinct(c0.tokens)) - len(list_intersect(q1.tokens, c0.tokens))), 0.0) AS lex) t),
+b0 AS (SELECT qid, concept, bare, arg_min({'entry_id': entry_id, 'prio': prio, 'score': score}, ROW(-score, prio, entry_id)) AS b, max(coalesce(value = asked, false)) AS same, max(asked IS NOT NULL) AS valued,
+  arg_min({'entry_id': entry_id, 'far': abs(value - asked)}, ROW(abs(value - asked), value, suppressed, prio, entry_id)) FILTER (WHERE value IS NOT NULL AND asked IS NOT NULL) AS near, min(ROW(abs(value - asked), value, suppressed, prio, entry_id)) FILTER (WHERE value IS NOT NULL AND asked IS NOT NULL) AS nearkey FROM s0 GROUP BY qid, concept, bare),
+b1 AS (SELECT *, max(same) OVER (PARTITION BY qid, bare) AS any_same FROM b0),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY qid, bare ORDER BY b.score DESC, b.prio, b.entry_id) AS rank, max(b.score) OVER (PARTITION BY qid, bare) AS top, min(nearkey) OVER (PARTITION BY qid, bare) AS nearest FROM b1 WHERE b.score >= 0.35 AND (bare OR valued)),
+b3 AS (SELECT *, CASE WHEN NOT bare AND (any_same OR nearest IS NULL) AND rank <= CASE WHEN top >= 0.75 THEN 1 ELSE 3 END THEN 'dosed' WHEN NOT bare AND NOT (any_same OR nearest IS NULL) AND nearkey = nearest THEN 'nearest' WHEN bare AND rank <= CASE WHEN top >= 0.75 THEN 1 ELSE 3 END THEN 'bare' END AS tier FROM b2),
+b4 AS (SELECT *, min(CASE tier WHEN 'bare' THEN 2 ELSE 1 END) OVER (PARTITION BY qid) AS first FROM b3 WHERE tier IS NOT NULL),
+b5 AS (SELECT qid, CASE WHEN tier = 'nearest' THEN 1 ELSE rank END AS rank, CASE WHEN tier = 'nearest' THEN near.entry_id ELSE b.entry_id END AS entry_id, concept, tier FROM b4 WHERE CASE tier WHEN 'bare' THEN 2 ELSE 1 END = first)"""
+
+
+@query(f"WITH {_KINDS} SELECT qid, CAST(rank AS INT) AS rank, entry_id, concept, tier FROM b5 UNION ALL SELECT qid, rank, entry_id, concept, 'dense' FROM dn WHERE qid IN (SELECT qid FROM q1) AND qid NOT IN (SELECT qid FROM b5)")
+def link_cascade(spark, sf):
+    """LNK7: class terms, dosed, nearest, bare and dense tiers."""
+    bare = F.col("entry_id") % 3 == 0
+    catalogue = entries(spark, sf).withColumn("bare", bare).withColumn("value", F.when(~F.col("bare"), F.col("value")))
+    q = asked(spark, sf)
+    q = q.select("qid", F.when(F.col("qid") % 17 == 0, F.array(F.lit("antibiotics"))).when(F.col("qid") % 13 == 0, F.array().cast("array<string>")).otherwise(F.col("tokens")).alias("tokens"), F.when(F.col("qid") % 5 == 0, None).when(F.col("qid") % 7 == 0, F.col("value") + 0.25).otherwise(F.col("value")).alias("value"))
+    dense = q.select("qid", F.lit(1).alias("rank"), (F.col("qid") % 3 + 1).alias("entry_id"), F.lit("dense").alias("concept"))
+    return ln.cascade(q, catalogue, ["antibiotics"], dense)
 
 
 @query(f"WITH {_RK}, n AS (SELECT *, lead(score) OVER (PARTITION BY qid ORDER BY rank) AS nx FROM rk) SELECT qid, concept FROM n WHERE rank = 1 AND score >= 0.35 AND (nx IS NULL OR round(round(score, 12) - round(nx, 12), 11) >= 0.01)")
 def conservative_select(spark, sf):
     """LNK9: only clear winners."""
-    r = ln.rank_concepts(scored(spark, sf))
+    r = ranked(spark, sf)
     return ln.conservative(r, margin=0.01 - 1e-11).select("qid", "concept")
 
 
@@ -101,9 +140,17 @@ SELECT qid, concept, round(max(score), 6) AS score FROM z GROUP BY qid, concept"
 def catalog_search(spark, sf):
     """LNK12: a catalogue search, the best score per concept."""
     e, q = entries(spark, sf), asked(spark, sf)
-    pairs = ln.block(q, e).join(q.select("qid", "text", F.col("tokens").alias("qt")), "qid").join(e.withColumnRenamed("tokens", "nt"), "entry_id")
-    s = ln.catalogue_score(F.col("text"), F.col("concept"), F.col("name"), F.col("qt"), F.col("nt"), F.col("suppressed"), F.col("prio"))
-    return pairs.groupBy("qid", "concept").agg(F.round(F.max(s), 6).alias("score"))
+    # names and texts that repeat are compared once; an entry only adds its priority and whether it is suppressed
+    one = e.groupBy("name", "concept", "suppressed").agg(F.min("prio").alias("prio"), F.first("tokens").alias("tokens"))
+
+    def work(queries):
+        pairs = ln.keyed_pairs(queries, one)
+        given = one.withColumn("ek", ln.token_key(F.col("tokens")))
+        rows = queries.withColumn("qk", ln.token_key(F.col("tokens"))).select("qid", "text", "qk").join(pairs, "qk").join(given.drop("tokens"), "ek")
+        score = ln.catalogue_score(F.col("text"), F.col("concept"), F.col("name"), F.col("qt"), F.col("et"), F.col("suppressed"), F.col("prio"))
+        return rows.groupBy("qid", "concept").agg(F.round(F.max(score), 6).alias("score"))
+
+    return ln.once(q, work, "text")
 
 
 @query(f"WITH {_E}, u AS (SELECT concept, name, min(prio * 100000000 + entry_id) AS k FROM e GROUP BY concept, name) SELECT concept, CAST(r AS INT) AS ord, name FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY k) AS r FROM u) WHERE r <= 20")
@@ -118,10 +165,12 @@ def representatives(spark, sf):
     return ln.representatives(entries(spark, sf))
 
 
-@query("""WITH n AS (SELECT n_nationkey, n_regionkey, lower(n_name) AS name FROM nation)
-SELECT c_custkey AS qid, n_regionkey AS code, CASE WHEN c_custkey % 2 = 0 THEN 'conservative' ELSE 'aggressive' END AS how FROM customer JOIN n ON c_nationkey = n_nationkey""")
+@query("""WITH n AS (SELECT n_nationkey, n_regionkey AS code, trim(regexp_replace(regexp_replace(lower(n_name), '[_\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) || ' á' AS cons FROM nation), k AS (SELECT code, cons, strip_accents(cons) AS aggr, n_nationkey FROM n),
+c AS (SELECT c_custkey AS qid, trim(regexp_replace(regexp_replace(lower(n_name || CASE WHEN c_custkey % 2 = 0 THEN ' Á' ELSE ' A' END), '[_\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS cons FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a AS (SELECT cons, arg_min(code, n_nationkey) AS code FROM k GROUP BY cons), b AS (SELECT aggr, arg_min(code, n_nationkey) AS code FROM k GROUP BY aggr)
+SELECT qid, coalesce(a.code, b.code) AS code, CASE WHEN a.code IS NOT NULL THEN 'conservative' WHEN b.code IS NOT NULL THEN 'aggressive' END AS how FROM c LEFT JOIN a ON c.cons = a.cons LEFT JOIN b ON strip_accents(c.cons) = b.aggr""")
 def alias_lookup(spark, sf):
-    """LNK19, LNK20, LNK33: names by their two keys, each different text once."""
+    """LNK20, LNK33: names by their two keys, each different text once."""
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("code"), F.col("n_nationkey").alias("ord"), F.concat(t.normalize_conservative(F.col("n_name")), F.lit(" á")).alias("cons"))
     names = n.withColumn("aggr", t.normalize_aggressive(F.col("cons")))
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -169,15 +218,15 @@ def alias_merge(spark, sf):
 @query(f"WITH {_RK}, f AS (SELECT qid, concept AS code, round(score * 100, 9) AS score FROM rk), w AS (SELECT *, row_number() OVER v AS r, lead(score) OVER v AS nx FROM f WINDOW v AS (PARTITION BY qid ORDER BY score DESC, code)) SELECT qid, code, round(least(greatest(score / 100, 0.7), 0.9), 9) AS confidence FROM w WHERE r = 1 AND score >= 50 AND (nx IS NULL OR score - nx >= 0.5)")
 def fuzzy_accept(spark, sf):
     """LNK24: a good score that is clear of the next code's."""
-    r = ln.rank_concepts(scored(spark, sf)).select("qid", F.col("concept").alias("code"), F.round(F.col("score") * 100, 9).alias("score"))
+    r = ranked(spark, sf).select("qid", F.col("concept").alias("code"), F.round(F.col("score") * 100, 9).alias("score"))
     return ln.fuzzy_accept(r, 50.0, 0.5).select("qid", "code", F.round("confidence", 9).alias("confidence"))
 
 
 @query(f"""WITH {_RK}, g AS (SELECT qid, concept AS code, score, round(1 / (1 + rank), 9) AS second FROM rk), h AS (SELECT *, max(second) OVER (PARTITION BY qid) AS top FROM g)
 SELECT qid, code, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(0.5 * round(score, 12) + 0.5 * second, 9) DESC, code) AS INT) AS rank FROM h WHERE top >= 0.5 AND top < 0.8""")
 def confidence_gate(spark, sf):
-    """LNK18, LNK27: a second scorer gates and blends."""
-    r = ln.rank_concepts(scored(spark, sf)).select("qid", F.col("concept").alias("code"), "score", F.round(1 / (1 + F.col("rank")), 9).alias("second"))
+    """LNK18: a second scorer gates and blends."""
+    r = ranked(spark, sf).select("qid", F.col("concept").alias("code"), "score", F.round(1 / (1 + F.col("rank")), 9).alias("second"))
     out = ln.confidence_gate(r)
     from pyspark.sql import Window as W
 
@@ -188,10 +237,10 @@ def confidence_gate(spark, sf):
 u AS (SELECT qid, concept AS code, 1 AS g, rank FROM rk WHERE rank <= 8 UNION ALL SELECT qid, code, 2, rank FROM d), o AS (SELECT qid, code, min(g * 100000 + rank) AS at0 FROM u GROUP BY qid, code),
 p AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY at0, code) AS pos, code FROM o) SELECT qid, CAST(pos AS INT) AS pos, code FROM p WHERE pos <= 39 UNION ALL SELECT qid, CAST(least(max(pos), 39) + 1 AS INT), 'NONE' FROM p GROUP BY qid""")
 def candidate_pool(spark, sf):
-    """LNK26, SMP11: ranked codes, then others, then NONE."""
+    """LNK26: ranked codes, then others, then NONE."""
     from pyspark.sql import Window as W
 
-    r = ln.rank_concepts(scored(spark, sf)).select("qid", F.col("concept").alias("code"), "rank", "prio")
+    r = ranked(spark, sf).select("qid", F.col("concept").alias("code"), "rank", "prio")
     dense = r.select("qid", "code", F.row_number().over(W.partitionBy("qid").orderBy("prio", "code")).alias("rank"))
     return ln.candidate_pool(r.select("qid", "code", "rank"), dense)
 
@@ -203,21 +252,25 @@ def centroid_pool(spark, sf):
     return ln.pooled(table(spark, sf, "embeddings"), "label")
 
 
-_CE = """x AS (SELECT label, CAST(unnest(range(0, 64)) AS INT) AS dim, unnest(embedding) AS v FROM embeddings), m AS (SELECT label, dim, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY label, dim),
-ce AS (SELECT label, list(m ORDER BY dim) AS c FROM m GROUP BY label)"""
-
-
-@query(f"""WITH {_CE}, s AS (SELECT vec_id, e.label, list_dot_product(CAST(embedding AS DOUBLE[]), c) / sqrt(list_dot_product(c, c)) AS sim FROM embeddings e JOIN ce ON e.label = ce.label)
-SELECT label, vec_id, CAST(r AS INT) AS rank, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS r FROM s) WHERE r <= 3""")
+@query("""WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS code, list_dot_product(v, CAST(embedding AS DOUBLE[])) AS sim FROM q, embeddings WHERE vec_id <> qid)
+SELECT qid, code, CAST(r AS INT) AS rank, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, code) AS r FROM s) WHERE r <= 3""")
 def dense_topk(spark, sf):
-    """LNK15, LNK16: the vectors nearest to their group's centre, three each (a top-k report)."""
-    from pyspark.sql import Window as W
+    """LNK15: the three nearest vectors of the whole catalogue for every twentieth vector (a stated query set, a top-k report)."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("code"), F.col("embedding").alias("vector"))
+    q = v.where("code % 20 = 0").select(F.col("code").alias("qid"), F.lit(0).alias("view"), "vector")
+    return ln.dense_search(q, v, 3).select("qid", "code", "rank", F.round("sim", 6).alias("sim"))
 
-    v = table(spark, sf, "embeddings")
-    c = ln.pooled(v, "label").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x.value).alias("c"))
-    s = v.join(c, "label").select("label", "vec_id", ln.dot(F.col("embedding"), F.col("c")).alias("sim"))
-    r = F.row_number().over(W.partitionBy("label").orderBy(F.desc("sim"), "vec_id"))
-    return s.select("label", "vec_id", r.alias("rank"), F.round("sim", 6).alias("sim")).where("rank <= 3")
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS qid, 0 AS view, v FROM e WHERE vec_id % 20 = 0 UNION ALL SELECT vec_id, 1, list_reverse(v) FROM e WHERE vec_id % 20 = 0),
+s AS (SELECT qid, view, vec_id AS code, list_dot_product(q.v, e.v) AS sim FROM q, e WHERE vec_id <> qid), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, view ORDER BY sim DESC, code) AS r FROM s) WHERE r <= 15 AND sim >= 0.2),
+m AS (SELECT qid, code, avg(sim) AS sim FROM t GROUP BY qid, code) SELECT qid, code, CAST(r AS INT) AS rank, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, code) AS r FROM m) WHERE r <= 3""")
+def multi_view_search(spark, sf):
+    """LNK16: the mean similarity over the views of a query, each view's best fifteen (a top-k report)."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("code"), F.col("embedding").cast("array<double>").alias("vector"))
+    some = v.where("code % 20 = 0")
+    q = some.select(F.col("code").alias("qid"), F.lit(0).alias("view"), "vector").unionByName(some.select(F.col("code").alias("qid"), F.lit(1).alias("view"), F.reverse("vector").alias("vector")))
+    found = ln.dense_search(q, v, 15)
+    return ln.mean_over_views(found, 3, 0.2).select("qid", "code", "rank", F.round("sim", 6).alias("sim"))
 
 
 @query("""WITH a AS (SELECT vec_id AS qid, label AS code, 0.5 + (vec_id % 50) / 100.0 AS sim FROM embeddings), b AS (SELECT vec_id AS qid, (label + 1) % 10 AS code, 0.5 + (vec_id % 47) / 94.0 AS sim FROM embeddings),
@@ -240,22 +293,10 @@ def hybrid_rerank(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(s, 6).alias("score"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 12)) AS t FROM documents), b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 12)) AS t FROM benchmark)
-SELECT doc_id, item_id, round(2.0 * len(list_intersect(d.t, b.t)) / (len(d.t) + len(b.t)), 6) AS f1, round(len(list_intersect(d.t, b.t)) / CAST(len(list_distinct(list_concat(d.t, b.t))) AS DOUBLE), 6) AS jaccard
-FROM d JOIN b ON len(list_intersect(d.t, b.t)) > 0""")
+@query("""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> '')) AS t FROM documents), b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> '')) AS t FROM benchmark),
+n AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(t) AS w FROM d) x JOIN (SELECT item_id, unnest(t) AS w FROM b) y ON x.w = y.w GROUP BY doc_id, item_id)
+SELECT n.doc_id, n.item_id, round(2.0 * n / (len(d.t) + len(b.t)), 6) AS f1, round(n / CAST(len(d.t) + len(b.t) - n AS DOUBLE), 6) AS jaccard FROM n JOIN d ON n.doc_id = d.doc_id JOIN b ON n.item_id = b.item_id""")
 def token_overlap_pairs(spark, sf):
-    """LNK23, EVL6: texts that share long words with benchmark items."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) >= 12))
-    d = table(spark, sf, "documents").select("doc_id", words("text").alias("a"))
-    b = table(spark, sf, "benchmark").select("item_id", words("text").alias("b"))
-    near = d.select("doc_id", F.explode("a").alias("w")).join(b.select("item_id", F.explode("b").alias("w")), "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    # sizes are enough: no word list is moved to the pairs
-    near = near.join(d.select("doc_id", F.size("a").alias("na")), "doc_id").join(b.select("item_id", F.size("b").alias("nb")), "item_id")
-    return near.select("doc_id", "item_id", F.round(2.0 * F.col("n") / (F.col("na") + F.col("nb")), 6).alias("f1"), F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard"))
-
-
-@query()
-def token_overlap_all(spark, sf):
     """LNK23, EVL6: all texts that share any word with benchmark items, scored over all their distinct words."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: w != ""))
     d = table(spark, sf, "documents").select("doc_id", words("text").alias("a")).select("doc_id", F.size("a").alias("na"), F.explode("a").alias("w"))
@@ -263,3 +304,60 @@ def token_overlap_all(spark, sf):
     # the benchmark is the small side: sizes travel with its words, and pairs are counted before they are shuffled
     near = d.join(b, "w").groupBy("doc_id", "na", "item_id", "nb").agg(F.count("*").alias("n"))
     return near.select("doc_id", "item_id", F.round(2.0 * F.col("n") / (F.col("na") + F.col("nb")), 6).alias("f1"), F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard"))
+
+
+@query("""WITH n AS (SELECT 'R' || lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS parent, 'R' || lpad(CAST(n_regionkey AS VARCHAR), 2, '0') || '.' || CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS VARCHAR) AS code, n_name AS name FROM nation),
+a AS (SELECT code, name, parent FROM n UNION ALL SELECT DISTINCT 'R' || lpad(CAST(r_regionkey AS VARCHAR), 2, '0'), r_name, NULL FROM region), k AS (SELECT parent AS code, array_to_string(list_sort(list(code)), ',') AS children FROM a WHERE parent IS NOT NULL GROUP BY parent)
+SELECT a.code, lower(replace(name, '_', ' ')) AS cons, CASE WHEN contains(a.code, '.') THEN 'disease' ELSE 'category' END AS level, parent, coalesce(children, '') AS children FROM a LEFT JOIN k ON a.code = k.code""")
+def code_index(spark, sf):
+    """SRC10, SRC11, SRC12: raw nodes as an index: spelling, level, parent told by the code, children, keys of the names."""
+    n = code_rows(spark, sf)
+    return ln.code_nodes(n).select("code", "cons", "level", "parent", F.array_join("children", ",").alias("children"))
+
+
+def code_rows(spark, sf):
+    """Regions as categories and nations as codes below them, written without a dot and without their parents."""
+    from pyspark.sql import Window as W
+
+    region = F.concat(F.lit("r"), F.lpad(F.col("n_regionkey").cast("string"), 2, "0"))
+    place = (F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).cast("string")
+    none = F.lit(None).cast("string").alias("parent")
+    n = table(spark, sf, "nation").select(F.concat(region, place, F.lit("*")).alias("code"), F.col("n_name").alias("name"), none)
+    return n.unionByName(table(spark, sf, "region").select(F.concat(F.lit("R"), F.lpad(F.col("r_regionkey").cast("string"), 2, "0")).alias("code"), F.col("r_name").alias("name"), none))
+
+
+@query("""WITH n AS (SELECT n_nationkey, n_name AS name, 'R' || lpad(CAST(n_regionkey AS VARCHAR), 2, '0') || '.' || CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS VARCHAR) AS code FROM nation), c AS (SELECT c_custkey AS qid, c_custkey % 6 AS k, name, code FROM customer JOIN n ON c_nationkey = n_nationkey)
+SELECT qid, CASE WHEN k IN (4, 5) THEN NULL ELSE code END AS code, CAST(CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 1.0 WHEN 3 THEN 0.75 ELSE 0.0 END AS DOUBLE) AS confidence, CASE k WHEN 0 THEN 'code' WHEN 1 THEN 'alias' WHEN 2 THEN 'name' WHEN 3 THEN 'backed' WHEN 4 THEN 'negated' ELSE 'none' END AS how FROM c""")
+def code_match(spark, sf):
+    """LNK19, LNK21, LNK24: the cascade of look-ups: a written code, an alias, a name, a name with a qualifier, nothing."""
+    nodes = ln.code_nodes(code_rows(spark, sf))
+    nation = table(spark, sf, "nation").join(nodes.select("code", "name"), F.col("n_name") == F.col("name"))
+    aliases = nation.select(F.concat(F.lit("land "), "n_name").alias("alias"), "code", F.lit(0.9).alias("confidence"))
+    c = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey") % 6
+    text = F.when(k == 0, F.concat(F.lit("see "), F.lower("code"))).when(k == 1, F.concat(F.lit("Land-"), "n_name")).when(k == 2, F.concat(F.lit("bị "), F.lower("n_name"))).when(k == 3, F.concat("n_name", F.lit(" unspecified"))).when(k == 4, F.col("n_name")).otherwise(F.concat(F.lit("no "), "n_name"))
+    return ln.match_codes(c.select(F.col("c_custkey").alias("qid"), text.alias("text"), (k == 4).alias("negated")), nodes, aliases)
+
+
+@query(f"""WITH {_RK}, m AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN 'x' END AS code, CASE WHEN qid % 3 = 1 THEN 'negated' ELSE 'none' END AS how FROM q), l AS (SELECT qid, list(concept ORDER BY rank) AS l FROM rk WHERE rank <= 5 GROUP BY qid)
+SELECT m.qid, array_to_string(CASE WHEN how = 'negated' THEN CAST([] AS VARCHAR[]) WHEN code IS NOT NULL THEN [code] ELSE coalesce(l, CAST([] AS VARCHAR[])) END, ',') AS codes FROM m LEFT JOIN l ON m.qid = l.qid""")
+def linker_adapter(spark, sf):
+    """LNK31: one code where it is sure, the first five candidates where it isn't, none for negated texts."""
+    m = asked(spark, sf).select("qid", F.when(F.col("qid") % 3 == 0, "x").alias("code"), F.when(F.col("qid") % 3 == 1, "negated").otherwise("none").alias("how"))
+    return ln.adapted(m, ranked(spark, sf).select("qid", F.col("concept").alias("code"), "rank")).select("qid", F.array_join("codes", ",").alias("codes"))
+
+
+@query(f"""WITH {_RK}, p AS (SELECT qid, concept AS code, score FROM rk UNION ALL SELECT qid, 'NONE', 0.6 FROM q) SELECT qid, CASE WHEN code <> 'NONE' THEN code END AS code FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, code) AS r FROM p) WHERE r = 1""")
+def rerank_argmax(spark, sf):
+    """LNK27: the best of a pool, which may be none of its codes."""
+    pool = ranked(spark, sf).select("qid", F.col("concept").alias("code"), "score").unionByName(asked(spark, sf).select("qid", F.lit("NONE").alias("code"), F.lit(0.6).alias("score")))
+    return ln.argmax_with_none(pool)
+
+
+@query(f"""WITH {_RK}, f AS (SELECT qid, concept AS code, round(score * 100, 9) AS score FROM rk WHERE rank = 1 AND round(score * 100, 9) >= 60), x AS (SELECT qid, min(concept) AS code FROM q JOIN e ON q.text = e.name WHERE e.prio = 0 GROUP BY qid)
+SELECT qid, code FROM x UNION ALL SELECT qid, code FROM f WHERE qid NOT IN (SELECT qid FROM x)""")
+def seed_link(spark, sf):
+    """LNK30: exact surfaces, else a fuzzy match that is good enough."""
+    q, e = asked(spark, sf), entries(spark, sf)
+    fuzzy = ranked(spark, sf).where("rank = 1").select("qid", F.col("concept").alias("code"), F.round(F.col("score") * 100, 9).alias("score"))
+    return ln.seed_link(q.select("qid", F.col("text").alias("surface")), e.where("prio = 0").select(F.col("name").alias("surface"), F.col("concept").alias("code")), fuzzy, 60.0)

@@ -93,8 +93,7 @@ def containment_local(spark, sf):
     """INT17: spans inside a segment, counted from its start."""
     s = spans(spark, sf)
     g = s.where("type = 'signup'").select("doc_id", F.col("start").alias("s0"), (F.col("start") + 72).alias("e0"), F.col("ord").alias("segment"))
-    inside = (F.col("start") >= F.col("s0")) & (F.col("end") <= F.col("e0"))
-    return g.join(s.where("type != 'signup'"), "doc_id").where(inside).select("doc_id", "segment", "ord", (F.col("start") - F.col("s0")).alias("local_start"), (F.col("end") - F.col("s0")).alias("local_end"))
+    return iv.contained(g, s.where("type != 'signup'")).select("doc_id", "segment", "ord", "local_start", "local_end")
 
 
 @query("""SELECT c_custkey, unnest(CASE WHEN c_acctbal >= 0 THEN ['name', 'value'] ELSE ['value'] END) AS part, unnest(CASE WHEN c_acctbal >= 0 THEN [c_mktsegment, CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR)] ELSE [c_mktsegment || ' là ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR)] END) AS text FROM customer""")
@@ -142,7 +141,7 @@ def collapse_overlap(spark, sf):
 
 @query()
 def greedy_fill(spark, sf):
-    """INT6, GEN10: greedy, so tested against a plain loop."""
+    """INT6: greedy, so tested against a plain loop."""
     return iv.greedy_fill(spans(spark, sf).select("doc_id", "ord", "start", "end", "type"))
 
 

@@ -23,10 +23,51 @@ def check_source(path: str) -> str:
     return path
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, text``: one row per file, line ends as they are; the id is the file's name without ending."""
+def read_notes(spark: SparkSession, path: str, line_ends: str = "kept") -> DataFrame:
+    """``doc_id, text``: one row per file; the id is the file's name without ending.
+
+    Line ends stay as they are, so places are those of the file. With ``line_ends="translated"`` every
+    kind of them becomes a line feed, as a reader in text mode gives them; places then differ.
+    """
+    if line_ends not in ("kept", "translated"):
+        raise ValueError(f"line_ends is kept or translated, not {line_ends}")
     files = spark.read.text(check_source(path), wholetext=True)
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), F.col("value").alias("text"))
+    text = F.col("value") if line_ends == "kept" else F.regexp_replace("value", "\r\n?", "\n")
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), text.alias("text"))
+
+
+def paired(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the columns of spans for documents that have both; a span beyond its text is an error."""
+    both = texts.select("doc_id", F.length("text").alias("n")).join(spans, "doc_id")
+    fits = F.when((F.col("end") > F.col("n")) | (F.col("start") < 0), F.raise_error(F.concat(F.lit("a span lies beyond the text of "), F.col("doc_id").cast("string")))).otherwise(F.lit(True))
+    return both.where(fits).select(*spans.columns)
+
+
+#: Characters of a dictionary file, at most: it is parsed in one piece.
+DICTIONARY = 16 << 20
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """``section, phrase, payload`` of a YAML dictionary: lists of phrases, or phrases with a payload (as JSON), by section.
+
+    Such files are small and are parsed in one piece; a larger one than ``DICTIONARY`` is an error.
+    """
+    import json
+
+    import yaml
+
+    body = spark.read.text(check_source(path), wholetext=True).first()["value"]
+    if len(body) > DICTIONARY:
+        raise ValueError(f"{path} is too long for a dictionary")
+    rows: list[tuple[str, str, str | None]] = []
+    for section, items in (yaml.safe_load(body) or {}).items():
+        if isinstance(items, dict):
+            rows += [(section, str(k), json.dumps(v, ensure_ascii=False)) for k, v in items.items()]
+        elif isinstance(items, list):
+            rows += [(section, str(x.get("phrase") or next(iter(x.values()))), json.dumps(x, ensure_ascii=False)) if isinstance(x, dict) else (section, str(x), None) for x in items]
+        else:
+            rows.append((section, str(items), None))
+    return spark.createDataFrame(rows, "section string, phrase string, payload string")
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
