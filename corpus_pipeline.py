@@ -1,4 +1,13 @@
-"""The training-data pipeline over ``documents``: quality, toxicity, line dedup, near-dedup, packing."""
+"""The training-data pipeline over ``documents``: quality, toxicity, line dedup, near-dedup, packing.
+
+Every stage but the last returns the columns that it was given, whatever their names, types and order
+(``doc_id``, ``text``, ``source`` and ``lang`` are read; ``n_chars`` follows the text where it is there).
+
+Defined results: a null or empty text is judged by the classifiers as a text without characters, passes
+line dedup as it is, is a near copy of all other texts without words, and packs as its end id alone.
+Null ids and ids of any orderable type are kept; rows that repeat id and text are one document to
+near-dedup. An empty table passes all stages and packs into nothing. Ties go to the smaller id.
+"""
 
 from __future__ import annotations
 
@@ -32,6 +41,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of three-line windows (op9); ``n_chars`` follows the text."""
     left = line_dedup.without_repeats(docs).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return left
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
