@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between Spark and a Python worker, at most: long texts would make batches of hundreds of MB.
+BATCH, _BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOTS: dict[str, str] = {}
 _OWN: list[tuple[SparkSession, str]] = []
 
@@ -44,6 +46,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if int(spark.conf.get(_BATCH_KEY).rstrip("b")) > BATCH:
+            spark.conf.set(_BATCH_KEY, str(BATCH))
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 

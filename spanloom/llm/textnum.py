@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -156,6 +155,8 @@ def _joined(held: list) -> tuple[int, int, np.ndarray, np.ndarray]:
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct values in order of appearance, where each is first, and each value's index in them."""
+    import pandas as pd  # here, as workers that don't need it should not hold it
+
     code, found = pd.factorize(values)
     first = np.empty(len(found), np.int64)
     first[code[::-1]] = np.arange(len(values) - 1, -1, -1)
