@@ -423,8 +423,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     now = placed()
     parts = now.groupBy("h", "component").agg(F.min("rid").alias("rid"))
     first_of = parts.groupBy("h").agg(F.min(F.struct("component", "rid")).alias("f"), F.count("*").alias("members")).where("members > 1")
-    pairs = join_groups(parts, scratch.keep(first_of), ["h"], F.col("rid")).where("component != f.component").select(F.least("rid", "f.rid").alias("u"), F.greatest("rid", "f.rid").alias("v")).distinct()
-    pairs = pairs.join(stars.select("u", "v"), ["u", "v"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPOKES)) * 0)
+    first_of = scratch.keep(first_of.select("h", "f", "members", F.ceil(F.col("members") / SPOKES).alias("salts")))
+    pairs = join_groups(parts, first_of, ["h"], F.col("rid")).where("component != f.component")
+    pairs = pairs.groupBy(F.col("f.rid").alias("u"), F.col("rid").alias("v")).agg(F.min(F.pmod(F.xxhash64("rid"), "salts")).alias("salt"))
+    tried = stars.select(F.col("u").alias("lo"), F.col("v").alias("hi"))
+    pairs = pairs.join(tried, (F.least("u", "v") == F.col("lo")) & (F.greatest("u", "v") == F.col("hi")), "left_anti")
     found = scratch.keep(connected_components(verified(scratch.keep(pairs), met, threshold).unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))), scratch))
 
     now = placed()
