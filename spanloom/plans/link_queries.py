@@ -347,6 +347,26 @@ def linker_adapter(spark, sf):
     return ln.adapted(m, ranked(spark, sf).select("qid", F.col("concept").alias("code"), "rank")).select("qid", F.array_join("codes", ",").alias("codes"))
 
 
+@query(f"""WITH {_RK}, a AS (SELECT qid, concept, rank, round(score, 12) AS score, ['SCDC', 'SCD', 'SBD', 'PSN', 'SBDC'][entry_id % 5 + 1] AS kind, entry_id % 4 <> 0 AS same, entry_id % 3 = 0 AS literal, entry_id % 2 = 0 AS named, entry_id % 7 = 0 AS brand_written, entry_id % 3 = 1 AS injection, entry_id % 5 = 2 AS oral,
+  CASE WHEN entry_id % 6 = 0 THEN 5.0 END AS volume, qid % 2 = 0 AS by_mouth, qid % 3 = 0 AS by_injection, qid % 5 = 0 AS has_volume FROM rk),
+u AS (SELECT *, injection AND kind IN ('SCD', 'SBD', 'PSN', 'SY') AS shot, has_volume AND coalesce(volume = 5.0, false) AS fits FROM a),
+g AS (SELECT qid, arg_min({{'concept': concept, 'score': score, 'kind': kind, 'literal': literal, 'named': named, 'brand': brand_written}}, rank) AS t, bool_or(same) AS any_same, bool_or(fits) AS volume_met, max(score) FILTER (WHERE shot) AS shot_score,
+  arg_min({{'concept': concept, 'score': score, 'fits': fits}}, ROW(-score, rank)) FILTER (WHERE shot AND same) AS i, count(*) FILTER (WHERE shot AND same) AS n_shots, bool_or(oral AND score >= 0.90) AS oral_there, bool_or(by_mouth) AS by_mouth, bool_or(by_injection) AS by_injection, bool_or(has_volume) AS has_volume FROM u GROUP BY qid),
+d AS (SELECT *, t.kind IN ('SCDC', 'SBDC') AS component, t.kind = 'SCD' AND t.literal AND NOT by_injection AS plain FROM g),
+w AS (SELECT qid, t, i, CASE WHEN NOT any_same THEN NULL WHEN t.score >= 1.0 AND (NOT has_volume OR volume_met) AND ((component AND NOT coalesce(t.score - shot_score <= 0.05, false)) OR plain) THEN 'full' WHEN plain AND t.score >= 0.95 AND by_mouth THEN 'by mouth'
+  WHEN t.kind IN ('PSN', 'SBD', 'SY') AND t.score >= 0.75 AND NOT by_injection AND t.named AND (t.kind IN ('PSN', 'SBD') OR (t.brand AND t.score >= 0.90)) THEN 'brand' WHEN n_shots > 0 AND by_injection AND NOT oral_there AND i.score >= 0.90 THEN 'injection' WHEN n_shots > 0 AND i.fits THEN 'volume'
+  WHEN n_shots = 1 AND component AND t.score - i.score <= 0.05 THEN 'only injection' END AS why FROM d)
+SELECT qid, CASE WHEN why IN ('full', 'by mouth', 'brand') THEN t.concept ELSE i.concept END AS concept, why FROM w WHERE why IS NOT NULL UNION ALL SELECT rk.qid, rk.concept, 'fallback' FROM rk JOIN w ON rk.qid = w.qid WHERE rank = 2 AND why IS NULL""")
+def guided_links(spark, sf):
+    """LNK10: the ordered decisions over dosed candidates; here the second concept stands for the fallback."""
+    r = ranked(spark, sf)
+    n = F.col("entry_id")
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("SCDC", "SCD", "SBD", "PSN", "SBDC")]), (n % 5 + 1).cast("int"))
+    rows = r.select("qid", "concept", "rank", "score", kinds.alias("kind"), (n % 4 != 0).alias("same"), (n % 3 == 0).alias("literal"), (n % 2 == 0).alias("named"), (n % 7 == 0).alias("brand_written"), (n % 3 == 1).alias("injection"), (n % 5 == 2).alias("oral"), F.when(n % 6 == 0, 5.0).alias("volume"))
+    q = asked(spark, sf).select("qid", (F.col("qid") % 2 == 0).alias("by_mouth"), (F.col("qid") % 3 == 0).alias("by_injection"), F.when(F.col("qid") % 5 == 0, F.array(F.lit(5.0))).otherwise(F.array().cast("array<double>")).alias("volumes"))
+    return ln.guided(q, rows, r.where("rank = 2").select("qid", "concept"))
+
+
 @query(f"""WITH {_RK}, p AS (SELECT qid, concept AS code, score FROM rk UNION ALL SELECT qid, 'NONE', 0.6 FROM q) SELECT qid, CASE WHEN code <> 'NONE' THEN code END AS code FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, code) AS r FROM p) WHERE r = 1""")
 def rerank_argmax(spark, sf):
     """LNK27: the best of a pool, which may be none of its codes."""

@@ -119,6 +119,13 @@ def validate_counts(spark, sf):
     return validate.violation_counts(s, {"bad_bounds": "start < 0 or end <= start", "bad_type": "type not in ('view', 'click', 'purchase', 'signup')", "past_end": "end > 740"}, ["doc_id", "start", "end", "type"])
 
 
+@query(f"""WITH {_S}, v AS (SELECT doc_id, ord, concat_ws(',', CASE WHEN "end" > 700 THEN 'invalid_position' END, CASE WHEN type = 'error' THEN 'invalid_type' END) AS errors FROM s) SELECT doc_id, ord, errors FROM v WHERE errors <> '' ORDER BY doc_id, ord LIMIT 20""")
+def first_errors(spark, sf):
+    """FLT3: the first twenty rows that break a rule (a report)."""
+    broken = F.array_compact(F.array(F.when(F.col("end") > 700, "invalid_position"), F.when(F.col("type") == "error", "invalid_type")))
+    return validate.first_errors(spans(spark, sf), broken, ["doc_id", "ord"]).select("doc_id", "ord", F.array_join("errors", ",").alias("errors"))
+
+
 @query(f"""WITH {_S} SELECT doc_id, ord, type, value FROM s WHERE (CASE type WHEN 'view' THEN value WHEN 'click' THEN value / 2 WHEN 'purchase' THEN 1000 ELSE value END) >= CASE type WHEN 'view' THEN 40 WHEN 'click' THEN 10 WHEN 'purchase' THEN 5 ELSE -1e9 END""")
 def confidence_guard(spark, sf):
     """FLT6, CTX12: each type's own measure against its own threshold; unknown types stay."""
