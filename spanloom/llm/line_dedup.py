@@ -3,9 +3,9 @@
 DataFrame functions only. Every ``window`` consecutive lines are hashed; the first occurrence of a
 hash is the smallest (doc_id, position), found by a grouped minimum with map-side partial sums, so a
 window that very many documents share is one row per task in the shuffle. Only windows seen twice
-are joined back. The positions that later occurrences cover are merged per document and removed.
+are joined back, the commonest of them salted. The positions that later occurrences cover are merged per document and removed.
 
-Defined results: null ``doc_id`` sorts last; a null text stays null with 0 lines; documents with
+Defined results: ids may be of any type that can be ordered; null ``doc_id`` sorts last; a null text stays null with 0 lines; documents with
 fewer lines than a window stay whole. Rows that repeat both id and text are one document, and each
 gets its result. In a run of equal lines only the first stays, as each window but the first is a
 later occurrence. A document whose lines all go stays with an empty text. An empty table gives no
@@ -17,15 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import Scratch, columns_of, free_name
+from .runs import join_groups
 
 _KEY = ("unnumbered", "doc", "t1", "t2")
 
 
 def _keyed(doc_id: Column, text: Column) -> list[Column]:
-    """What tells documents apart, without nulls: id and two hashes of the text."""
+    """What tells documents apart, in the order of the ids: whether there is none, the id, and two hashes of the text."""
     text = F.coalesce(text, F.lit(""))
-    return [doc_id.isNull().alias("unnumbered"), F.coalesce(doc_id, F.lit(0)).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    return [doc_id.isNull().alias("unnumbered"), doc_id.alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
@@ -44,20 +45,20 @@ def windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
 def later_windows(found: DataFrame) -> DataFrame:
     """``unnumbered, doc, t1, t2, starts``: per document, where windows begin that occurred before."""
     place = F.struct(*_KEY, "pos")
-    repeated = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first")
-    later = found.join(repeated, ["a", "b"]).where(place != F.col("first"))
+    repeated = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("members"))
+    repeated = repeated.where("first != last").select("a", "b", "first", "members")
+    later = join_groups(found, Scratch(found.sparkSession, "windows").keep(repeated), ["a", "b"], F.col("t1")).where(place != F.col("first"))
     return later.groupBy(*_KEY).agg(F.collect_set("pos").alias("starts"))
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
     """``df`` with the lines left in ``text``; two more columns ``n_lines`` and ``n_removed`` under free names."""
-    from .common import free_name
-
     total, removed = free_name(df, "n_lines"), free_name(df, "n_removed")
     body, id_ = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
     starts = later_windows(windows(df, doc_id, text, window))
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_keyed(id_, body))
-    joined = whole.join(starts, list(_KEY), "left")
+    later = starts.select("starts", *[F.col(k).alias(f"of_{k}") for k in _KEY])
+    joined = whole.join(later, [F.col(k).eqNullSafe(F.col(f"of_{k}")) if k == "doc" else F.col(k) == F.col(f"of_{k}") for k in _KEY], "left")
     lines = F.split(F.col("row").getField(text), "\n", -1)
     covered = F.flatten(F.transform("starts", lambda s: F.array(*[s + k for k in range(window)])))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda i: F.get(lines, i))
