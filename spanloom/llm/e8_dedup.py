@@ -8,12 +8,17 @@ Connected components of these links then hold every link, so each vector's numbe
 counted inside its component. Both comparisons run in tiles of at most ``tile`` rows a side, so a
 cell or component of any size is spread over many tasks.
 
+What a cell's tile receives first is each vector in one signed byte per component, with a bound of the
+error: it tells which members have a possible link there, and only their whole vectors are shipped.
+The bound is never too small, so no link is lost by it.
+
 With the default width and tables, vectors of cosine 0.93 share no cell with a probability of about
-1e-6, closer ones less.
+2e-5, closer ones less.
 
 Defined results: vectors of different label or length aren't compared. A vector that is null, empty,
 zero, or holds null or non-finite components, or whose label is null, links with nothing. Equal
-vectors are compared once and counted each. Rows that repeat an id are vectors of their own; a null
+vectors are compared once and counted each. Components of any finite size count, as vectors are divided by
+their largest component before anything else. Rows that repeat an id are vectors of their own; a null
 id is never the smallest unless its component has no other. An empty table gives no rows. Extra
 columns are ignored whatever their names.
 """
@@ -25,16 +30,16 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import Scratch, columns_of
+from .common import Scratch, columns_of, parallelism
 from .components import connected_components
 from .runs import by_runs, in_tiles, run_bounds
 
-THRESHOLD, TABLES, PROBES, WIDTH, TILE = 0.93, 10, 4, 0.22, 2048
+THRESHOLD, TABLES, PROBES, WIDTH, TILE = 0.93, 8, 4, 0.22, 2048
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -91,6 +96,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; divided by their largest component first, so no square over- or underflows."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def rounded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows as whole numbers from -127 to 127, what they are to be multiplied by, and the length of what is lost."""
+    scale = np.abs(unit).max(1) / 127
+    whole = np.rint(unit / scale[:, None])
+    lost = np.linalg.norm(unit - whole * scale[:, None], axis=1) * (1 + 1e-6) + 1e-9
+    return whole.astype(np.int8), scale, lost
+
+
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a boolean link matrix."""
     n = len(links)
@@ -109,6 +128,21 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+#: Rows of a tile that are compared with all others at once.
+AT_ONCE = 512
+
+
+def _compared(home: np.ndarray, side: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some members of a tile after the other, and which others each is compared with: one of the two is at home, and they are of different sides if there are two."""
+    for begin in range(0, len(home), AT_ONCE):
+        rows = slice(begin, min(begin + AT_ONCE, len(home)))
+        pairs = home[rows, None] | home[None]
+        if side.any():
+            pairs &= side[rows, None] != side[None]
+        pairs[np.arange(rows.stop - begin), np.arange(begin, rows.stop)] = False
+        yield rows, pairs
+
+
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str | None = "label", threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept, rid``: one row per row of ``df``."""
     scratch = Scratch(df.sparkSession, "e8")
@@ -130,7 +164,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                 for size in np.unique(sizes):
                     some = part.filter(pa.array(sizes == size))
                     v = _matrix(some.column(1))
-                    h = cells(v / np.linalg.norm(v, axis=1)[:, None], tables, probes, width)
+                    h = cells(unit_rows(v), tables, probes, width)
                     h = textnum.mix(h + np.asarray(some.column(2)).view(np.uint64)[:, None, None], 3)
                     each = tables * (1 + probes)
                     home = np.zeros(h.shape, bool)
@@ -139,24 +173,46 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
     places = scratch.keep(classes.select("rid", "embedding", "group").mapInArrow(filed, "cell long, rid long, home boolean"))
     shared = places.groupBy("cell").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.max("home").alias("some")).where("a != b and some").select("cell")
-    met = places.join(shared, "cell", "left_semi").join(classes.select("rid", "embedding"), "rid").select("cell", "rid", "home", "embedding")
+    met = places.join(shared, "cell", "left_semi")
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(1).value_lengths())
+            for size in np.unique(sizes):
+                some = batch.filter(pa.array(sizes == size))
+                whole, scale, lost = rounded(unit_rows(_matrix(some.column(1))))
+                yield pa.RecordBatch.from_arrays([some.column(0), textnum.binaries(whole.ravel(), np.full(len(whole), size)), pa.array(scale), pa.array(lost)], names=["rid", "whole", "scale", "lost"])
+
+    short = scratch.keep(classes.select("rid", "embedding").mapInArrow(shortened, "rid long, whole binary, scale double, lost double"))
+
+    def possible(table: pa.Table) -> list[pa.RecordBatch]:
+        """The members of each tile that may have a link there."""
+        at, home, side, scale, lost = run_bounds(table, 3), *[table.column(c).to_numpy() for c in ("home", "side", "scale", "lost")]
+        whole = table.column("whole").combine_chunks()
+        sizes = np.asarray(pc.binary_length(whole))
+        found = np.zeros(table.num_rows, bool)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a < 2 or not home[a:b].any() or (sizes[a:b] != sizes[a]).any():
+                continue
+            x = np.frombuffer(b"".join(v.as_buffer() for v in whole[a:b]), np.int8).reshape(b - a, -1).astype(np.float64) * scale[a:b, None]
+            for rows, pairs in _compared(home[a:b], side[a:b]):
+                near = x[rows] @ x.T
+                near += lost[None, a:b] * (1 + lost[a:b][rows, None])
+                near += lost[a:b][rows, None]
+                found[a:b][rows] = (pairs & (near >= threshold - 1e-9)).any(1)
+        return table.select(["cell", "i", "j", "rid", "home", "side"]).filter(pa.array(found)).combine_chunks().to_batches()
 
-    def unit(table: pa.Table, name: str) -> np.ndarray:
-        v = _matrix(table.column(name).combine_chunks())
-        return v / np.linalg.norm(v, axis=1)[:, None]
+    def unit(table: pa.Table) -> np.ndarray:
+        return unit_rows(_matrix(table.column("embedding").combine_chunks()))
 
     def link(table: pa.Table) -> list[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        at, rid, home, side = run_bounds(table, 3), table.column("rid").to_numpy(), table.column("home").to_numpy(), table.column("side").to_numpy()
-        sizes = table.column("embedding").combine_chunks().value_lengths().to_numpy()
+        at, rid, home, side = run_bounds(table, 3), *[table.column(c).to_numpy() for c in ("rid", "home", "side")]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if b - a < 2 or not home[a:b].any() or (sizes[a:b] != sizes[a]).any():
-                continue
-            v = unit(table.slice(a, b - a), "embedding")
-            links = (v @ v.T >= threshold) & (home[a:b, None] | home[None, a:b])
-            if side[a:b].any():
-                links &= side[a:b, None] != side[None, a:b]
-            np.fill_diagonal(links, False)
+            v = unit(table.slice(a, b - a))
+            links = np.zeros((b - a, b - a), bool)
+            for rows, pairs in _compared(home[a:b], side[a:b]):
+                links[rows] = pairs & (v[rows] @ v.T >= threshold)
             if links.any():
                 found.append(rid[a:b][np.array(_forest(links))])
         if not found:
@@ -164,27 +220,28 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         pairs = np.concatenate(found)
         return [pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])]
 
-    tiles = in_tiles(met, "cell", tile).select("cell", "i", "j", "rid", "home", "embedding", "side")
-    links = tiles.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rid").mapInArrow(lambda b: by_runs(b, 3, link), "u long, v long")
+    columns = ["cell", "i", "j", "rid", "home", "side"]
+    tiles = in_tiles(met, "cell", tile).join(short, "rid").select(*columns, "whole", "scale", "lost")
+    tiles = tiles.repartition(parallelism(df.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rid")
+    some = scratch.keep(tiles.mapInArrow(lambda b: by_runs(b, 3, possible), "cell long, i int, j int, rid long, home boolean, side boolean"))
+    tiles = some.join(classes.select("rid", "embedding"), "rid").select(*columns, "embedding")
+    links = tiles.repartition(parallelism(df.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rid").mapInArrow(lambda b: by_runs(b, 3, link), "u long, v long")
     found = scratch.keep(connected_components(links, scratch))
 
     def count(table: pa.Table) -> list[pa.RecordBatch]:
         at, side, copies = run_bounds(table, 3), table.column("side").to_numpy(), table.column("copies").to_numpy()
         total = np.zeros(table.num_rows, np.int64)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            v = unit(table.slice(a, b - a), "embedding")
-            near = v @ v.T >= threshold
-            if side[a:b].any():
-                near &= side[a:b, None] != side[None, a:b]
-            elif table.column("i")[a] != table.column("j")[a]:
+            v = unit(table.slice(a, b - a))
+            if not side[a:b].any() and table.column("i")[a] != table.column("j")[a]:
                 continue
-            np.fill_diagonal(near, False)
-            total[a:b] = near @ copies[a:b]
+            for rows, pairs in _compared(np.ones(b - a, bool), side[a:b]):
+                total[a:b][rows] = (pairs & (v[rows] @ v.T >= threshold)).astype(np.float64) @ copies[a:b]
         return [pa.RecordBatch.from_arrays([table.column("rid").combine_chunks(), pa.array(total)], names=["rid", "n"])]
 
     grouped = classes.join(found.select(F.col("node").alias("rid"), "component"), "rid").select("component", "rid", "copies", "embedding")
     spread = in_tiles(grouped, "component", tile).select("component", "i", "j", "rid", "copies", "embedding", "side")
-    counts = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rid").mapInArrow(lambda b: by_runs(b, 3, count), "rid long, n long")
+    counts = spread.repartition(parallelism(df.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "rid").mapInArrow(lambda b: by_runs(b, 3, count), "rid long, n long")
     counts = counts.groupBy("rid").agg(F.sum("n").alias("n"))
 
     known = classes.select("c1", "c2", "rid", "copies").join(found.withColumnRenamed("node", "rid"), "rid", "left").join(counts, "rid", "left")
