@@ -1,8 +1,9 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over which words a text holds. It is fitted on a bounded sample of labelled rows;
-words whose share differs between toxic and other texts by at least ``z`` standard errors become
-features, and so does every identity term. For each labelled text that names identity terms, one copy
+words of four or more of these whose share differs between toxic and other texts by at least ``z``
+standard errors become features, and so does every identity term. Words are counted in Spark; the
+driver gets each sampled row's features only. For each labelled text that names identity terms, one copy
 has them swapped for others and one has them blanked; the squared changes of the score between text
 and copies are part of the loss. So a group's name can't carry toxicity by itself, and neutral
 mentions of groups aren't flagged.
@@ -18,18 +19,17 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import columns_of
+from .common import Scratch, columns_of
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
-#: Words that become features, at most, those that differ most first.
-FEATURES = 4_000
+#: Rows that hold a feature, at least.
+LEAST = 4
 Z, RIDGE, SWAP = 4.0, 1e-4, 1.0
 #: Terms that name groups of people; each may stand for any other.
 IDENTITIES = (
@@ -72,21 +72,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_words(rows: list[np.ndarray], y: np.ndarray, identities: Sequence[str] = IDENTITIES, swap: float = SWAP, z: float = Z, ridge: float = RIDGE, features: int = FEATURES, rounds: int = 400, seed: int = 5) -> Model:
+def fit_words(rows: list[np.ndarray], y: np.ndarray, identities: Sequence[str] = IDENTITIES, swap: float = SWAP, z: float = Z, ridge: float = RIDGE, rounds: int = 400, seed: int = 5) -> Model:
     """The model for labelled rows, each given as the distinct hashes of its words."""
     toxic, clean = int(y.sum()), int(len(y) - y.sum())
     if not toxic or not clean:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.log((toxic + 1) / (clean + 1)))
     owner, flat = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    code, names = pd.factorize(flat)
+    names, code = np.unique(flat, return_inverse=True)
     in_toxic = np.bincount(code[y[owner] == 1], minlength=len(names))
     in_all = np.bincount(code, minlength=len(names))
     share = in_all / len(y)
     gap = in_toxic / toxic - (in_all - in_toxic) / clean
     far = np.abs(gap) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / toxic + 1 / clean))
-    chosen = np.argsort(-far, kind="stable")[:features]
     terms = word_keys(identities)
-    chosen = chosen[(far[chosen] >= z) & (in_all[chosen] >= 4) & ~np.isin(names[chosen], terms)]
+    chosen = np.flatnonzero((far >= z) & (in_all >= LEAST) & ~np.isin(names, terms))
     keys = np.concatenate((names[chosen], terms))
     order = np.argsort(keys)
     keys = keys[order]
@@ -130,17 +129,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, sample: int,
     return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", sample: int = SAMPLE, **options) -> Model:
+def telling_words(rows: DataFrame, z: float = Z) -> np.ndarray:
+    """The hashes of the words whose share differs enough, from ``words array<long>, y``."""
+    total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = total.get(1, 0), total.get(0, 0)
+    if not toxic or not clean:
+        return np.zeros(0, np.uint64)
+    counts = rows.select(F.explode("words").alias("w"), "y").groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("t")).where(F.col("n") >= LEAST)
+    share = F.col("n") / (toxic + clean)
+    far = F.abs(F.col("t") / toxic - (F.col("n") - F.col("t")) / clean) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / toxic + 1 / clean))
+    return counts.where(far >= 0.999 * z).select("w").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", sample: int = SAMPLE, z: float = Z, identities: Sequence[str] = IDENTITIES, **options) -> Model:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, w, counts in textnum.whole_rows(textnum.words(batch.column(0), gap=textnum.NOT_LETTER)):
-                each = [np.unique(x).tobytes() for x in np.split(w, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), batch.column(1).slice(lo, hi - lo).cast(pa.int32())], names=["words", "y"])
+                each = [np.unique(x) for x in np.split(w, np.cumsum(counts)[:-1])]
+                words = textnum.ragged(np.concatenate(each).view(np.int64), np.array([len(x) for x in each])).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([words, batch.column(1).slice(lo, hi - lo).cast(pa.int32())], names=["words", "y"])
 
     rows = labelled_sample(docs, labels, mark, sample, doc_id, text)
-    got = rows.mapInArrow(distinct, "words binary, y int").toArrow()
+    rows = Scratch(docs.sparkSession, "labelled").keep(rows.mapInArrow(distinct, "words array<long>, y int"))
+    known = np.concatenate((telling_words(rows, z), word_keys(identities)))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, n = np.asarray(batch.column(0).flatten()).view(np.uint64), np.asarray(batch.column(0).value_lengths()).astype(np.int64)
+            on, owner = np.isin(flat, known), np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_arrays([textnum.binaries(flat[on], np.bincount(owner[on], minlength=len(n))), batch.column(1)], names=["words", "y"])
+
+    got = rows.mapInArrow(features, "words binary, y int").toArrow()
     y = got.column("y").to_numpy().astype(np.int64)
-    return fit_words([np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("words")], y, **options)
+    return fit_words([np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("words")], y, identities, z=z, **options)
 
 
 def score(text: Column, model: Model) -> Column:
