@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a batched Viterbi in numpy.
 
-Texts are cut into words before each blank that follows something else, where no piece can lie
-across. Each distinct word is encoded once per worker. New words of equal length advance together:
+Texts are cut into words before each blank that follows something else, and between any two
+characters that stand side by side in no piece: no piece can lie across, so text without blanks comes
+in short words too. Each distinct word is encoded once per worker. New words of equal length advance together:
 for each end position and piece length, hashes of all words' substrings probe the sorted piece keys,
 and the best way to reach the position is kept as a backpointer.
 
@@ -42,6 +43,13 @@ _ONLY_BLANK[32] = True
 _NOT_AFTER = _ONLY_BLANK.copy()
 _NOT_AFTER[0x81] = True  # U+2581 ends with it
 _KEPT: dict[str, "PieceEncoder"] = {}
+#: Slots of the table of neighbouring characters; two that share a slot only keep a text uncut there.
+BESIDE_BITS = 24
+
+
+def _beside(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The slot of each pair of characters."""
+    return ((left.astype(np.uint64) * np.uint64(0x9E3779B1) + right.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(8)) & np.uint64((1 << BESIDE_BITS) - 1)
 
 
 def default_model() -> str:
@@ -85,6 +93,10 @@ class PieceEncoder(CachedEncoder):
         keys = textnum.hash_stretches(codes, ends - [len(p) for p in usable], ends)
         order = np.argsort(keys)
         self.piece_keys, self.piece_ids = keys[order], np.array(list(usable.values()), np.int64)[order]
+        self.beside = np.zeros(1 << BESIDE_BITS, bool)
+        inner = np.ones(max(len(codes) - 1, 0), bool)
+        inner[ends[:-1] - 1] = False
+        self.beside[_beside(codes[:-1][inner], codes[1:][inner])] = True
         raw = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else p.replace("▁", " ").encode() for p, kind in zip(self.text, kinds, strict=True)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_n = np.array([len(r) for r in raw])
@@ -112,7 +124,7 @@ class PieceEncoder(CachedEncoder):
     def _starts(self, part: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         blank = part == BLANK
         begins = np.zeros(len(part), bool)
-        begins[1:] = blank[1:] & ~blank[:-1]
+        begins[1:] = (blank[1:] & ~blank[:-1]) | ~self.beside[_beside(part[:-1], part[1:])]
         begins[cuts[:-1][np.diff(cuts) > 0]] = True
         return np.flatnonzero(begins)
 
