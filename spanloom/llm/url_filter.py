@@ -120,7 +120,7 @@ ps AS ({_sql_pull('sx')}), pd AS ({_sql_pull('dm')}), ph AS ({_sql_pull('h')}),
 s AS (SELECT suffix, (y + pull * b) / (n + pull) AS s FROM sx, ps, base),
 d AS (SELECT domain, (y + pull * s) / (n + pull) AS d FROM dm JOIN s ON dm.suffix = s.suffix, pd),
 j AS (SELECT host, (y + pull * d) / (n + pull) AS rate, n + pull AS weight FROM h JOIN d ON h.domain = d.domain, ph),
-k AS (SELECT pg.page_id, pg.host, path, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) AS low FROM pg JOIN j ON pg.host = j.host),
+k AS (SELECT pg.page_id, pg.host, path, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) AS low FROM pg JOIN j ON pg.host = j.host),
 r AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
@@ -130,6 +130,6 @@ r AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM k
 )
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(rate, 9) AS bad_rate, round(low, 9) AS bad_rate_low
 FROM r
 """
