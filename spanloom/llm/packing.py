@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from . import bpe, textnum
 from .common import Scratch, columns_of, parallelism
 
-#: A bin with at most this share of its room left is done.
+#: A bin with at most this share of its room left is done. This and the two numbers below say how tightly bins are
+#: packed against how much is moved again; no piece depends on them, only its place.
 SLACK = 1 / 128
 #: Items that one local best fit takes; a partition with more packs them group by group.
 GROUP = 200_000
@@ -193,7 +194,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: s
     left, tasks = rest.count(), parallelism(spark)
     while left > 1:
         tasks = max(1, tasks // 4, -(-left // MERGE))
-        # items of like fill in one task would fit badly, so they are dealt by a hash of their key
+        # dealt in turns: items of like fill in one task would fit badly
         level = scratch.keep(rest.repartition(tasks).mapInArrow(merge, schema))
         parts.append(level.where("done"))
         rest, before = level.where("not done"), left

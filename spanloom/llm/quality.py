@@ -4,7 +4,8 @@ A small logistic model over the shares of kinds of characters and of repeated wo
 odds. Per path and per host, the documents' good shares are summed; a path's rate is drawn to its
 host's and a host's to the global rate, the more the fewer documents it has; how much is estimated
 from the spread between sites. A document's own share is taken out of its site's sums, then evidence
-and site's log odds are added.
+and site's log odds are added. Labels enter the document model alone: a site's sums are made of what
+that model says about the site's other documents, labelled or not.
 
 Documents without a path-like column can name any two nested columns (host, path); null is a site
 of its own. Defined results: null and empty texts have the evidence of a text without characters.

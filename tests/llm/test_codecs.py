@@ -93,3 +93,17 @@ def test_digest_and_columns(spark):
     back = df.select("text", piece_codec.decode(piece_codec.encode(F.col("text"))).alias("b")).collect()
     assert all((r["text"] or "") == r["b"] for r in back)
     assert piece_codec.digest(df.where("false")).count() == 0
+
+
+def test_long_text_without_blanks():
+    import time
+
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+    random.seed(17)
+    rows = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(20_000)), "".join(random.choice(["tion", "the", "é", "ß", "x9"]) for _ in range(9_000))]
+    codec, began = piece_codec.encoder(piece_codec.default_model()), time.time()
+    for x in rows:
+        assert np.concatenate([ids for *_, ids, _ in codec.encode(pa.array([x]))]).tolist() == own.encode(x)
+    assert time.time() - began < 30

@@ -280,3 +280,162 @@ def test_bad_hosts_are_blocked(spark):
     labels = spark.createDataFrame([(i, int(i >= 100 and i != 900), 0) for i, _ in rows] + [(None, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labels).collect()}
     assert got[3] == "block" and got[150] == "allow" and got[900] == "allow"  # one bad page blocks no host
+
+
+def test_bad_rates_by_brute_force(spark):
+    random.seed(14)
+    hosts = ["a.x.org", "b.x.org", "c.y.org", "d.z.net", "z.net", "", "lonely"]
+    rows = [(h, n := random.randint(0, 9), random.randint(0, n)) for h in hosts for _ in range(3)]
+    of = {h: [sum(r[1] for r in rows if r[0] == h), sum(r[2] for r in rows if r[0] == h)] for h in hosts}
+    domain = {h: ".".join(h.split(".")[-2:]) for h in hosts}
+    suffix = {h: h.split(".")[-1] for h in hosts}
+
+    def merged(name):
+        out = {}
+        for h, (n, y) in of.items():
+            a = out.setdefault(name[h], [0, 0])
+            a[0], a[1] = a[0] + n, a[1] + y
+        return out
+
+    def pull(groups):
+        seen = [(n, y) for n, y in groups if n]
+        total = sum(n for n, _ in seen)
+        p, nn = sum(y for _, y in seen) / total, sum(n * n for n, _ in seen)
+        spare = total - nn / total
+        spread = (sum(y * y / n for n, y in seen) - total * p * p - (len(seen) - 1) * p * (1 - p)) / spare if spare > 0 else 0
+        return min(max(p * (1 - p) / spread - 1, 1.0), 1000.0) if spread > 1e-12 else 1000.0
+
+    domains, suffixes = merged(domain), merged(suffix)
+    base = (sum(y for _, y in of.values()) + 1) / (sum(n for n, _ in of.values()) + 2)
+    ps, pd_, ph = pull(suffixes.values()), pull(domains.values()), pull(of.values())
+    got = {r["host"]: (r["rate"], r["low"]) for r in url_filter.reputation(spark.createDataFrame(rows, "host string, n int, y int")).collect()}
+    for h in hosts:
+        s = (suffixes[suffix[h]][1] + ps * base) / (suffixes[suffix[h]][0] + ps)
+        d = (domains[domain[h]][1] + pd_ * s) / (domains[domain[h]][0] + pd_)
+        rate = (of[h][1] + ph * d) / (of[h][0] + ph)
+        assert abs(got[h][0] - rate) < 1e-12 and abs(got[h][1] - (rate - 1.645 * (rate * (1 - rate) / (of[h][0] + ph + 1)) ** 0.5)) < 1e-12
+
+
+def test_quality_by_brute_force(spark):
+    random.seed(15)
+    rows = []
+    for i in range(120):
+        good = random.random() < 0.6
+        rows.append((i, ("Plain words stand here. " if good else "### !!! ||| 000 ") * random.randint(1, 9), random.choice(["p", "q", None]), random.choice(["h1", "h2", "h3", None]), 1))
+    d = spark.createDataFrame(rows, DOCS)
+    lab = spark.createDataFrame([(i, int(r[1][0] == "P")) for i, r in enumerate(rows)], "doc_id long, quality int")
+    model = quality.fit(d, lab)
+    evidence = model.evidence(quality.features(pa.array([r[1] for r in rows])))
+    base = np.log(model.prior / (1 - model.prior))
+    share = 1 / (1 + np.exp(-(evidence + base)))
+    sums = {}
+    for r, y in zip(rows, share, strict=True):
+        for key in ((r[3],), (r[3], r[2])):
+            a = sums.setdefault(key, [0, 0.0])
+            a[0], a[1] = a[0] + 1, a[1] + y
+
+    def pull(groups):
+        total, y = sum(n for n, _ in groups), sum(y for _, y in groups)
+        p, nn = y / total, sum(n * n for n, _ in groups)
+        spread = (sum(y * y / n for n, y in groups) - total * p * p - (len(groups) - 1) * p * (1 - p)) / (total - nn / total)
+        return min(max(p * (1 - p) / spread - 1, 1.0), 1000.0) if spread > 1e-12 else 1000.0
+
+    hosts, paths = [v for k, v in sums.items() if len(k) == 1], [v for k, v in sums.items() if len(k) == 2]
+    rate, ph, pp = (share.sum() + 1) / (len(rows) + 2), pull(hosts), pull(paths)
+    got = {r["doc_id"]: r for r in quality.with_quality(d, lab)[0].collect()}
+    for r, e, y in zip(rows, evidence, share, strict=True):
+        (hn, hy), (pn, py) = sums[(r[3],)], sums[(r[3], r[2])]
+        of_h = (max(hy - y, 0) + ph * rate) / (hn - 1 + ph)
+        of_p = min(max((max(py - y, 0) + pp * of_h) / (pn - 1 + pp), 1e-6), 1 - 1e-6)
+        score = 1 / (1 + np.exp(-(e + np.log(of_p / (1 - of_p)))))
+        assert abs(got[r[0]]["site_rate"] - of_p) < 1e-9 and abs(got[r[0]]["score"] - score) < 1e-9
+
+
+def test_toxicity_by_brute_force(spark, sf):
+    """Scores against sets of words, and the features against plain counts."""
+    import re
+
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(d, lab)
+    odd = [(900001, None), (900002, ""), (900003, "word " * 60_000), (1, "repeated"), (1, "repeated")]
+    both = d.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    texts, scores = [r["text"] for r in both.collect()], [r["x"] for r in both.select(toxicity.score(F.col("text"), model).alias("x")).collect()]
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    words_of = lambda x: {w.lower() for w in re.findall(r"[A-Za-z0-9\u0080-\uffff]+", x or "")}
+    for x, got in zip(texts, scores, strict=True):
+        own = words_of(x)
+        plain = model.bias + sum(weight.get(int(k), 0.0) for k in (toxicity.word_keys(sorted(own)) if own else []))
+        assert abs(got - toxicity.sigmoid(np.array(plain))) < 1e-9
+    marks = {r["doc_id"]: r["toxic"] for r in lab.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    rows = [(words_of(r["text"]), marks[r["doc_id"]]) for r in d.collect() if r["doc_id"] in marks]
+    toxic, clean = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    counts = {}
+    for ws, y in rows:
+        for w in ws:
+            c = counts.setdefault(w, [0, 0])
+            c[0], c[1] = c[0] + 1, c[1] + y
+    far = lambda n, t: abs(t / toxic - (n - t) / clean) / max(n / len(rows) * (1 - n / len(rows)) * (1 / toxic + 1 / clean), 1e-12) ** 0.5
+    want = {w for w, (n, t) in counts.items() if n >= 4 and far(n, t) >= 4.0} - set(toxicity.IDENTITIES)
+    assert set(toxicity.word_keys(sorted(want | set(toxicity.IDENTITIES))).tolist()) == set(model.keys.tolist()) and want
+
+
+def test_default_swap_spares_neutral_mentions():
+    random.seed(2)
+    key = lambda ws: np.unique(toxicity.word_keys(ws))
+    plain = [f"n{i}" for i in range(60)]
+    rows, y = [], []
+    for i in range(400):
+        bad, named = i % 2, random.random() < (0.95 if i % 2 else 0.05)
+        rows.append(key([*random.sample(plain, 8), *(["vile"] if bad and random.random() < 0.5 else []), *(["muslims"] if named else [])]))
+        y.append(bad)
+    m = toxicity.fit_words(rows, np.array(y))
+    flagged = [toxicity.sigmoid(m.bias + m.weights[np.isin(m.keys, key([*random.sample(plain, 8), "muslims"]))].sum()) >= 0.5 for _ in range(50)]
+    assert not any(flagged)
+
+
+def test_ids_that_are_texts(spark):
+    rows = [("b", "a b c d e f\nx\ny"), ("a", "a b c d e f\nx\ny"), ("c", "other\nlines\nhere"), (None, "other\nlines\nhere"), (None, None), ("d", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.without_repeats(df).collect()}
+    assert got == {("a", "a b c d e f\nx\ny"), ("b", ""), ("c", "other\nlines\nhere"), (None, ""), (None, None), ("d", None)}
+    assert sorted(str(r["doc_id"]) for r in order_minhash.one_of_each(df).collect()) == ["a", "c", "d"]
+    assert {r["doc_id"] for r in packing.pack(df).collect()} == {"a", "b", "c", "d", None}
+
+
+def test_very_long_texts(spark):
+    long_ = "alpha beta gamma " * 60_000  # about a million characters
+    other = long_ + "delta"
+    df = docs(spark, [(1, long_), (2, other), (3, "alpha\n" * 50_000), (4, "x")], True)
+    assert {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    n = bpe.encoder(bpe.default_tokenizer()).lengths(pa.array([long_])).tolist()[0]
+    assert df.where("doc_id = 1").select(token_counts.token_count(F.col("text")).alias("n")).first()["n"] == n
+    left = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(df).collect()}
+    assert left[3] == "alpha\n"  # all later windows of the run go, and what they cover
+    assert len(left[1]) == len(long_)
+
+
+def test_empty_tables_and_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "http://h.org/a"), (1, "http://h.org/a"), (None, "http://h.org/b")], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [(r["page_id"], r["verdict"]) for r in url_filter.judge(pages, labels).orderBy("page_id").collect()] == [(None, "allow"), (1, "allow"), (1, "allow")]
+    assert url_filter.judge(pages.where("false"), labels).count() == 0
+    assert toxicity.judge(docs(spark, [(1, "x")]).where("false"), labels).count() == 0
+    twice = quality.with_quality(docs(spark, [(1, "x"), (1, "x"), (None, None)]), labels)[0].collect()
+    assert len(twice) == 3
+
+
+def test_large_groups_in_tiles(spark):
+    """A group of near copies that hardly any two members of share a first pick with, in parts of few members."""
+    random.seed(16)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in random.sample(range(100), 10):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"z{i}q{k}" for k in range(60)) + " " + " ".join(base[:40])) for i in range(20)]
+    df = docs(spark, rows)
+    want = {i: 0 if i < 100 else i for i, _ in rows}
+    for options in ({}, {"tile": 7}, {"first": 1, "tile": 16}):
+        assert {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(df, **options).collect()} == want
