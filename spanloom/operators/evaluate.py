@@ -40,6 +40,15 @@ def best_thresholds(scored: DataFrame, by: str) -> DataFrame:
     return at.groupBy(by).agg(best.alias("b")).select(by, F.col("b.score").alias("threshold"), "b.f1")
 
 
+def best_metrics(scored: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
+    """``by, metric, threshold, f1``: the measure, and its threshold, that tells positives (``y``) best; ties go to the first name."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics])).alias("x")
+    rows = scored.select(by, "y", each).select(F.struct(by, "x.metric").alias("_k"), "x.score", "y")
+    best = best_thresholds(rows, "_k").select(F.col(f"_k.{by}").alias(by), F.col("_k.metric").alias("metric"), "threshold", "f1")
+    first = F.row_number().over(W.partitionBy(by).orderBy(F.desc("f1"), "metric"))
+    return best.withColumn("_r", first).where("_r = 1").drop("_r")
+
+
 def grid(rows: DataFrame, measures: list[str], steps: list[float], truth: str) -> DataFrame:
     """``<measure>_at..., accuracy``: agreement for every combination of thresholds.
 

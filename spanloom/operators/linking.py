@@ -256,6 +256,12 @@ def catalogue_score(query: Column, concept: Column, name: Column, qt: Column, nt
     return base - F.when(suppressed, 15.0).otherwise(0.0) - 0.01 * prio
 
 
+def whole_or_any(pairs: DataFrame) -> DataFrame:
+    """The pairs (qk, qt, et) whose entry has all of the query's tokens; for queries without such an entry all pairs."""
+    rows = pairs.withColumn("_all", F.size(F.array_except("qt", "et")) == 0)
+    return rows.withColumn("_some", F.max("_all").over(W.partitionBy("qk"))).where(F.col("_all") | ~F.col("_some")).drop("_all", "_some")
+
+
 def views(entries: DataFrame, most: int = 20) -> DataFrame:
     """``concept, ord, name``: different names of a concept, by priority, of 2 to 500 characters."""
     fit = entries.where("length(name) between 2 and 500")

@@ -62,10 +62,21 @@ def prf_by_type(spark, sf):
 c AS (SELECT lang, score, sum(pos) OVER w AS tp, sum(n) OVER w AS n, sum(pos) OVER (PARTITION BY lang) AS total FROM n WINDOW w AS (PARTITION BY lang ORDER BY score DESC))
 SELECT lang, CAST(score AS BIGINT) AS threshold, f1 FROM (SELECT *, round(2.0 * tp / (n + total), 9) AS f1, row_number() OVER (PARTITION BY lang ORDER BY round(2.0 * tp / (n + total), 9) DESC, round(tp / n, 9) DESC, score) AS r FROM c) WHERE r = 1""")
 def threshold_calibration(spark, sf):
-    """EVL12: each kind's best threshold."""
+    """EVL12, for one measure: each kind's best threshold."""
     return ev.best_thresholds(judged(spark, sf).select("lang", F.col("n_chars").alias("score"), F.col("quality").alias("y")), "lang")
 
 
+@query(f"""WITH {_J}, m AS (SELECT lang, quality, unnest(['chars', 'id', 'rest']) AS metric, unnest([CAST(n_chars AS DOUBLE), CAST(doc_id AS DOUBLE), CAST(n_chars % 89 AS DOUBLE)]) AS score FROM j), n AS (SELECT lang, metric, score, count(*) AS n, sum(quality) AS pos FROM m GROUP BY lang, metric, score),
+c AS (SELECT lang, metric, score, sum(pos) OVER w AS tp, sum(n) OVER w AS n, sum(pos) OVER (PARTITION BY lang, metric) AS total FROM n WINDOW w AS (PARTITION BY lang, metric ORDER BY score DESC)),
+f AS (SELECT lang, metric, score, CASE WHEN n + total = 0 THEN 0 ELSE round(2.0 * tp / (n + total), 9) END AS f1, round(tp / n, 9) AS p FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, metric ORDER BY f1 DESC, p DESC, score) AS r FROM f)
+SELECT lang, metric, score AS threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, metric) AS k FROM b WHERE r = 1) WHERE k = 1""")
+def metric_calibration(spark, sf):
+    """EVL12: the best of three measures and its threshold, by kind."""
+    rows = judged(spark, sf).select("lang", F.col("n_chars").alias("chars"), F.col("doc_id").alias("id"), (F.col("n_chars") % 89).alias("rest"), F.col("quality").alias("y"))
+    return ev.best_metrics(rows, "lang", ["chars", "id", "rest"])
+
+
 @query(f"""WITH {_J}, g AS (SELECT a.s AS a, b.s AS b FROM (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS s) a, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS s) b)
 SELECT CAST(a AS DOUBLE) AS x_at, CAST(b AS DOUBLE) AS y_at, round(avg(CAST((x >= a AND y >= b) = (quality = 1) AS INT)), 9) AS accuracy FROM g, (SELECT (n_chars % 97) / 96.0 AS x, (doc_id % 89) / 88.0 AS y, quality FROM j) GROUP BY a, b""")
 def grid_thresholds(spark, sf):

@@ -134,23 +134,30 @@ def conservative_select(spark, sf):
     return ln.conservative(r, margin=0.01 - 1e-11).select("qid", "concept")
 
 
-@query(f"""WITH {_E}, z AS (SELECT q.qid, e.concept, e.entry_id, CASE WHEN q.text = e.name THEN 100.0 WHEN starts_with(e.name, q.text) THEN 88.0 WHEN contains(e.name, q.text) THEN 78.0 ELSE 50 + 25 * (len(list_intersect(q.tokens, e.tokens)) / CAST(len(q.tokens) AS DOUBLE)) END - CASE WHEN suppressed THEN 15.0 ELSE 0 END - 0.01 * prio AS score
-  FROM q JOIN e ON len(list_intersect(q.tokens, e.tokens)) > 0)
-SELECT qid, concept, round(max(score), 6) AS score FROM z GROUP BY qid, concept""")
+@query(f"""WITH {_E}, qq AS (SELECT qid, CASE WHEN qid % 4 = 0 THEN text || ' zz' ELSE text END AS text, CASE WHEN qid % 4 = 0 THEN list_append(tokens, 'zz') ELSE tokens END AS tokens FROM q),
+z AS (SELECT q.qid, e.concept, e.entry_id, CASE WHEN q.text = e.name THEN 100.0 WHEN starts_with(e.name, q.text) THEN 88.0 WHEN contains(e.name, q.text) THEN 78.0 ELSE 50 + 25 * (len(list_intersect(q.tokens, e.tokens)) / CAST(len(list_distinct(q.tokens)) AS DOUBLE)) END - CASE WHEN suppressed THEN 15.0 ELSE 0 END - 0.01 * prio AS score,
+  len(list_intersect(q.tokens, e.tokens)) = len(list_distinct(q.tokens)) AS whole FROM qq q JOIN e ON len(list_intersect(q.tokens, e.tokens)) > 0), y AS (SELECT *, bool_or(whole) OVER (PARTITION BY qid) AS any_whole FROM z),
+b AS (SELECT qid, concept, round(max(score), 6) AS score FROM y WHERE whole OR NOT any_whole GROUP BY qid, concept)
+SELECT qid, concept, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, concept) AS r FROM b) WHERE r <= 20""")
 def catalog_search(spark, sf):
-    """LNK12: a catalogue search, the best score per concept."""
+    """LNK12: a catalogue search among entries with all words, else with any; the twenty best concepts (a top-k report)."""
+    from pyspark.sql import Window as W
+
     e, q = entries(spark, sf), asked(spark, sf)
+    odd = F.col("qid") % 4 == 0
+    q = q.select("qid", F.when(odd, F.concat("text", F.lit(" zz"))).otherwise(F.col("text")).alias("text"), F.when(odd, F.array_append("tokens", F.lit("zz"))).otherwise(F.col("tokens")).alias("tokens"))
     # names and texts that repeat are compared once; an entry only adds its priority and whether it is suppressed
     one = e.groupBy("name", "concept", "suppressed").agg(F.min("prio").alias("prio"), F.first("tokens").alias("tokens"))
 
     def work(queries):
-        pairs = ln.keyed_pairs(queries, one)
+        pairs = ln.whole_or_any(ln.keyed_pairs(queries, one))
         given = one.withColumn("ek", ln.token_key(F.col("tokens")))
         rows = queries.withColumn("qk", ln.token_key(F.col("tokens"))).select("qid", "text", "qk").join(pairs, "qk").join(given.drop("tokens"), "ek")
         score = ln.catalogue_score(F.col("text"), F.col("concept"), F.col("name"), F.col("qt"), F.col("et"), F.col("suppressed"), F.col("prio"))
         return rows.groupBy("qid", "concept").agg(F.round(F.max(score), 6).alias("score"))
 
-    return ln.once(q, work, "text")
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "concept"))
+    return ln.once(q, work, "text").withColumn("rank", rank).where("rank <= 20")
 
 
 @query(f"WITH {_E}, u AS (SELECT concept, name, min(prio * 100000000 + entry_id) AS k FROM e GROUP BY concept, name) SELECT concept, CAST(r AS INT) AS ord, name FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY k) AS r FROM u) WHERE r <= 20")
