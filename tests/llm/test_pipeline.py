@@ -63,7 +63,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls, empty texts, repeated rows, text ids, extra columns with clashing names, no ``n_chars``, and an empty table."""
     long_ = "A plain sentence stands here and says something. " * 400
     rows = [("a", "x\ny\nz"), ("b", "x\ny\nz"), ("b", "x\ny\nz"), (None, None), (None, ""), ("c", long_), ("d", long_ + "More."), ("e", None)]
-    spark.createDataFrame([(str(i), 1, 0) for i in range(3)], "doc_id string, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in "abcde"], "doc_id string, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "Score": F.lit(1), "rid": F.lit(2), "h": F.lit("x"), "evidence": F.lit(0.5)})
     for given in (docs, docs.where("false")):
         now = given
