@@ -6,7 +6,8 @@ Every stage but the last returns the columns that it was given, whatever their n
 Defined results: a null or empty text is judged by the classifiers as a text without characters, passes
 line dedup as it is, is a near copy of all other texts without words, and packs as its end id alone.
 Null ids and ids of any orderable type are kept; rows that repeat id and text are one document to
-near-dedup. An empty table passes all stages and packs into nothing. Ties go to the smaller id.
+near-dedup. An empty table passes all stages and packs into nothing. Ties go to the smaller id. Without
+any label the toxicity score is one half, which counts as toxic, so no document passes that stage.
 """
 
 from __future__ import annotations
