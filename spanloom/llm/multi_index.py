@@ -35,7 +35,7 @@ from .runs import by_runs, run_bounds
 #: Sampled rows that the rotations and radii are fitted on, at most; shared by vectors of different lengths.
 SAMPLE = 20_000
 #: Rows of a block, at most; a table that is smaller than a block for each task has smaller ones, down to ``SMALL``.
-BLOCK, SMALL, CHUNK = 1 << 16, 1 << 12, 1 << 13
+BLOCK, SMALL, CHUNK = 1 << 16, 1 << 14, 1 << 13
 ROTATIONS, REACH, CLIP = 24, 0.96, 30.0
 #: Sampled rows that the rotations are turned on, at most.
 ROTATED = 5_000
