@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import scorers
 from spanloom.functions import text as t
-from spanloom.operators import context, evaluate, generators, intervals, linking, sampling, sequences, vetoes
+from spanloom.operators import context, evaluate, generators, intervals, linking, occurrences, sampling, sequences, vetoes
 
 
 def one(spark, expr, **values):
@@ -33,6 +33,23 @@ def test_folding_over_all_characters(spark):
     assert one(spark, t.fold_all(F.col("s")), s="Đà Nẵng Йод") == "Da Nang Иод"
 
 
+def test_phrases_that_overlap_themselves(spark):
+    random.seed(19)
+    phrases = ["a a", "that", "ab", "a-a", "a", "ba b"]
+    rows = [(i, "".join(random.choice(["a", "b", " ", "-", "that", "İ"]) for _ in range(random.randint(0, 25)))) for i in range(300)]
+    want = set()
+    for i, x in rows:
+        low = x.replace("İ", "i").lower()
+        for p in phrases:
+            at = low.find(p)
+            while at >= 0:
+                if not (at and (low[at - 1].isalnum())) and not (at + len(p) < len(low) and low[at + len(p)].isalnum()):
+                    want.add((i, p, at, at + len(p)))
+                at = low.find(p, at + len(p))
+    got = occurrences.phrase_occurrences(spark.createDataFrame(rows, "doc_id int, text string"), phrases).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_composing(spark):
     random.seed(6)
     words = ["tiếng việt ệ ộ ữ", "Ångström é à ö ñ", "ά ή ὕ", "й ё", "a\u0323\u0302 q\u0301", "plain"]
