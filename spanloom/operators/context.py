@@ -28,11 +28,14 @@ def heading_of(core: Column, cues: dict[str, str]) -> Column:
 
 def sections(lines: DataFrame, lengths: DataFrame, cues: dict[str, str]) -> DataFrame:
     """``doc_id, start, end, category`` from lines (doc_id, start, core): ROOT, then each heading's section."""
-    heads = lines.select("doc_id", "start", heading_of(F.col("core"), cues).alias("category")).where("category is not null")
-    root = lengths.select("doc_id", F.lit(0).alias("start"), F.lit("ROOT").alias("category")).join(heads.where("start = 0").select("doc_id"), "doc_id", "left_anti")
-    both = root.unionByName(heads).join(lengths, "doc_id")
-    nxt = F.lead("start").over(W.partitionBy("doc_id").orderBy("start"))
-    return both.select("doc_id", "start", F.coalesce(nxt, F.col("n")).alias("end"), "category")
+    heads = lines.select("doc_id", "start", heading_of(F.col("core"), cues).alias("category"), F.lit(None).cast("int").alias("n"), F.lit(False).alias("root")).where("category is not null")
+    roots = lengths.select("doc_id", F.lit(0).alias("start"), F.lit("ROOT").alias("category"), F.col("n").cast("int").alias("n"), F.lit(True).alias("root"))
+    # every document's ROOT comes first and tells its length; a heading at 0 takes its place. Both sides are
+    # united before they are dealt by document: a union of dealt sides has the partitions of both under adaptive plans
+    per = W.partitionBy("doc_id")
+    nxt = F.lead("start").over(per.orderBy("start", F.desc("root")))
+    both = roots.unionByName(heads).where("doc_id is not null").select("doc_id", "start", "category", "root", nxt.alias("next"), F.max("n").over(per).alias("n"), F.max("root").over(per).alias("known"))
+    return both.where(F.col("known") & ~(F.col("root") & F.coalesce(F.col("next") == 0, F.lit(False)))).select("doc_id", "start", F.coalesce("next", "n").alias("end"), "category")
 
 
 def genre(role_at: Column, faq: Column, n_sections: Column) -> Column:

@@ -50,3 +50,8 @@ def test_overlap_vote_at_the_end_of_a_day(spark, tmp_path):
     rows = ", ".join(f"({i}::bigint, timestamp '{t}', 1::bigint, {i * 7.5}::double)" for i, t in enumerate(at))
     duckdb.sql(f"copy (select * from (values {rows}) t(event_id, ts, user_id, value)) to '{tmp_path}/events.parquet' (format parquet)")
     assert got(spark, "overlap_vote", tmp_path, 6) == wanted("overlap_vote", tmp_path, 6)
+
+
+def test_segment_examples_under_adaptive_plans(spark, conf):
+    conf({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "3"})
+    assert got(spark, "segment_examples", SF) == wanted("segment_examples", SF)
