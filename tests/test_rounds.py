@@ -55,3 +55,25 @@ def test_overlap_vote_at_the_end_of_a_day(spark, tmp_path):
 def test_segment_examples_under_adaptive_plans(spark, conf):
     conf({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "3"})
     assert got(spark, "segment_examples", SF) == wanted("segment_examples", SF)
+
+
+def test_multi_view_search_over_copies(spark, tmp_path):
+    """Copies of a vector are equally near wherever they stand, and no task holds all pairs of its rows."""
+    import tracemalloc
+
+    import numpy as np
+
+    from spanloom.operators import linking
+
+    rng = np.random.default_rng(3)
+    some = rng.normal(size=(41, 64))
+    some = (some / np.linalg.norm(some, axis=1)[:, None]).astype("float32")
+    rows = [(i, some[i * i % 41].tolist(), i % 10) for i in range(1500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/made")
+    os.rename(glob.glob(f"{tmp_path}/made/*.parquet")[0], f"{tmp_path}/embeddings.parquet")
+    assert got(spark, "multi_view_search", tmp_path) == wanted("multi_view_search", tmp_path)
+    big = rng.normal(size=(1 << 14, 8))
+    tracemalloc.start()
+    linking._nearest_rows(big[: 1 << 8], np.arange(1 << 8), big, np.arange(1 << 14), 15)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
