@@ -7,12 +7,18 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from . import occurrences
 
+# Rows that a batch of results holds before it goes on.
+ROWS = 1 << 16
+
 # Words between a name and its value, signs and words between two numbers of a range, numerators and denominators of units, units alone.
 LINKS = ("là", "đo được", "ở mức", "khoảng", "tăng lên", "tăng từ", "giảm xuống", "giảm còn", "nâng cao lên", ":")
 RANGES = ("-->", "->", "→", "–", "-", "đến", "lên", "tới")
@@ -186,25 +192,50 @@ def relocate(items: DataFrame, docs: DataFrame) -> DataFrame:
     of one or two characters have to match exactly. A document's items travel together, its text once.
     """
     lists = items.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "surface")).alias("items"))
-    both = lists.join(docs.select("doc_id", "text").where("text is not null"), "doc_id")
-    kind = items.schema["doc_id"].dataType.simpleString()
-    order = items.schema["ord"].dataType.simpleString()
+    return relocate_lists(lists.join(docs.select("doc_id", "text").where("text is not null"), "doc_id"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def relocated(text: str, wanted: list[tuple]) -> Iterator[tuple]:
+    """``ord, surface, start, end`` of the mentions ``ord, surface`` that have a place; see :func:`relocate`."""
+    low, behind = text.replace("İ", "i").lower(), {}
+    for order, surface in wanted:
+        exact = len(surface) <= 2
+        phrase = surface if exact else surface.replace("İ", "i").lower()
+        at = (text if exact else low).find(phrase, behind.get(phrase, 0)) if phrase else -1
+        behind[phrase] = at + len(phrase) if at >= 0 else len(text) + 1
+        if at >= 0:
+            yield order, surface, at, at + len(phrase)
+
+
+def relocate_lists(docs: DataFrame) -> DataFrame:
+    """:func:`relocate` where each text already has its mentions beside it: ``doc_id, text, items array<struct<ord, surface>>``.
+
+    One document at a time is unpacked, and rows go on in batches of bounded size.
+    """
+    fields = {"doc_id": docs.schema["doc_id"].dataType, **{f.name: f.dataType for f in docs.schema["items"].dataType.elementType if f.name == "ord"}}
+    schema = f"doc_id {fields['doc_id'].simpleString()}, ord {fields['ord'].simpleString()}, surface string, start int, end int"
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = [[], [], [], [], []]
         for b in batches:
-            rows = []
-            for d, wanted, text in zip(b["doc_id"], b["items"], b["text"], strict=True):
-                low, behind = text.replace("İ", "i").lower(), {}
-                for x in sorted(wanted, key=lambda x: x["ord"]):
-                    exact = len(x["surface"]) <= 2
-                    phrase = x["surface"] if exact else x["surface"].replace("İ", "i").lower()
-                    at = (text if exact else low).find(phrase, behind.get(phrase, 0)) if phrase else -1
-                    behind[phrase] = at + len(phrase) if at >= 0 else len(text) + 1
-                    if at >= 0:
-                        rows.append((d, x["ord"], x["surface"], at, at + len(phrase)))
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "surface", "start", "end"])
-
-    return both.mapInPandas(run, f"doc_id {kind}, ord {order}, surface string, start int, end int")
+            ids, texts, items = (b.column(c) for c in ("doc_id", "text", "items"))
+            for i in range(b.num_rows):
+                if not (texts[i].is_valid and items[i].is_valid):
+                    continue
+                wanted = items[i].values
+                pairs = sorted(zip(wanted.field("ord").to_pylist(), wanted.field("surface").to_pylist(), strict=True), key=lambda x: x[0])
+                d, before = ids[i].as_py(), len(rows[1])
+                for r in relocated(texts[i].as_py(), pairs):
+                    for column, v in zip(rows[1:], r, strict=True):
+                        column.append(v)
+                rows[0] += [d] * (len(rows[1]) - before)
+                if len(rows[0]) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, kinds, strict=True)], schema=kinds)
+                    rows = [[], [], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, kinds, strict=True)], schema=kinds)
+
+    return docs.select("doc_id", "text", "items").mapInArrow(run, schema)
 
 
 def segmented(docs: DataFrame, lexicon: Sequence[str], longest: int = 4) -> DataFrame:

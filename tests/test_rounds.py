@@ -5,6 +5,7 @@ import glob
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from spanloom.plans import catalogue
@@ -77,3 +78,19 @@ def test_multi_view_search_over_copies(spark, tmp_path):
     linking._nearest_rows(big[: 1 << 8], np.arange(1 << 8), big, np.arange(1 << 14), 15)
     assert tracemalloc.get_traced_memory()[1] < 200e6
     tracemalloc.stop()
+
+
+def test_relocate_stays_beside_its_text(spark, monkeypatch):
+    from spanloom.operators import generators
+
+    plan = catalogue.queries()["relocate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    docs = spark.createDataFrame([(1, "", [])], "doc_id long, text string, items array<struct<ord:int,surface:string>>")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    text = "ab abc ABC abc " * 2000
+    items = [{"ord": k, "surface": "abc"} for k in range(6001)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": text, "items": items[::-1]} for d in range(40)])
+    out = list(generators.relocate_lists(docs)(iter([batch])))
+    assert len(out) > 1 and max(b.num_rows for b in out) <= generators.ROWS + 6000
+    want = [15 * (k // 3) + (3, 7, 11)[k % 3] for k in range(6000)]
+    assert pa.Table.from_batches(out)["start"].to_pylist() == want * 40
