@@ -16,8 +16,8 @@ from pyspark.sql.types import _parse_datatype_string
 
 from . import occurrences
 
-# Rows that a batch of results holds before it goes on.
-ROWS = 1 << 16
+# Rows, or characters of segmented texts, that a batch of results holds before it goes on.
+ROWS, CHARS = 1 << 16, 1 << 20
 
 # Words between a name and its value, signs and words between two numbers of a range, numerators and denominators of units, units alone.
 LINKS = ("là", "đo được", "ở mức", "khoảng", "tăng lên", "tăng từ", "giảm xuống", "giảm còn", "nâng cao lên", ":")
@@ -267,12 +267,28 @@ def segmented(docs: DataFrame, lexicon: Sequence[str], longest: int = 4) -> Data
             i += n
         return "".join(out), places
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [cut(x or "") for x in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "segmented": [m[0] for m in made], "seg2raw": [m[1] for m in made]})
+    schema = f"doc_id {kind}, segmented string, seg2raw array<int>"
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, segmented string, seg2raw array<int>")
+    def made(ids: list, texts: list, places: list, ends: list) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(places) if places else pa.array([], pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, kinds[0].type), pa.array(texts, kinds[1].type), lists.cast(kinds[2].type)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, places, ends = [], [], [], [0]
+        for b in batches:
+            for d, x in zip(b.column("doc_id"), b.column("text"), strict=True):
+                text, at = cut(x.as_py() or "")
+                ids.append(d.as_py())
+                texts.append(text)
+                places.append(pa.array(at, pa.int32()))
+                ends.append(ends[-1] + len(at))
+                if ends[-1] >= CHARS:
+                    yield made(ids, texts, places, ends)
+                    ids, texts, places, ends = [], [], [], [0]
+        yield made(ids, texts, places, ends)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def raw_places(seg2raw: Column, start: Column, end: Column) -> Column:

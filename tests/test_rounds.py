@@ -94,3 +94,16 @@ def test_relocate_stays_beside_its_text(spark, monkeypatch):
     assert len(out) > 1 and max(b.num_rows for b in out) <= generators.ROWS + 6000
     want = [15 * (k // 3) + (3, 7, 11)[k % 3] for k in range(6000)]
     assert pa.Table.from_batches(out)["start"].to_pylist() == want * 40
+
+
+def test_segmented_texts_go_on_in_bounded_batches(spark, monkeypatch):
+    from spanloom.operators import generators
+
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": "one of the\n many " * 20000} for d in range(8)])
+    out = list(generators.segmented(docs, ["of the"])(iter([batch])))
+    assert len(out) > 1 and max(len(b.column(2).flatten()) for b in out) < generators.CHARS + (1 << 19)
+    made = pa.Table.from_batches(out)
+    assert made["doc_id"].to_pylist() == list(range(8)) and made["segmented"][7].as_py().startswith("one of_the\nmany one of_the")
+    assert made["seg2raw"][7].as_py()[:16] == [0, 1, 2, 3, 4, 5, None, 7, 8, 9, None, 12, 13, 14, 15, 16]
