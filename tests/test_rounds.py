@@ -107,3 +107,38 @@ def test_segmented_texts_go_on_in_bounded_batches(spark, monkeypatch):
     made = pa.Table.from_batches(out)
     assert made["doc_id"].to_pylist() == list(range(8)) and made["segmented"][7].as_py().startswith("one of_the\nmany one of_the")
     assert made["seg2raw"][7].as_py()[:16] == [0, 1, 2, 3, 4, 5, None, 7, 8, 9, None, 12, 13, 14, 15, 16]
+
+
+def linked(folder, parts, suppliers):
+    """Catalogue and queries in which names, sizes and kinds repeat, and some do not."""
+    kinds = ("ECONOMY", "STANDARD", "PROMO", "LARGE")
+    words = ("red", "old", "hot", "big"), ("bolt", "ring", "rod", "gear")
+    rows = ", ".join(f"({i}::bigint, '{words[0][i * 7 % 4]} {words[1][i // 3 % 4]}', 'Brand#{i * 5 % 6}', '{kinds[i // 5 % 4]} X', {i * 11 % 23 + 1 + 25 * (i % 2)}::int, 1.0::double)" for i in range(parts))
+    duckdb.sql(f"copy (select * from (values {rows}) t(p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)) to '{folder}/part.parquet' (format parquet)")
+    duckdb.sql(f"copy (select range as s_suppkey, 'S' as s_name, 1::int as s_nationkey, 1.0::double as s_acctbal from range({suppliers})) to '{folder}/supplier.parquet' (format parquet)")
+
+
+def joined_rows(df):
+    """The largest number of rows that a join of the finished query put out."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if hasattr(node, "plan") and "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        if "Join" in node.nodeName() and metric.isDefined():
+            found.append(metric.get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(found)
+
+
+def test_nearest_value_makes_no_pairs_of_entries(spark, tmp_path):
+    linked(tmp_path, 900, 300)
+    assert got(spark, "nearest_value", tmp_path) == wanted("nearest_value", tmp_path)
+    assert joined_rows(catalogue.queries()["nearest_value"](spark, str(tmp_path))) < 30000
