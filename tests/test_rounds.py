@@ -142,3 +142,9 @@ def test_nearest_value_makes_no_pairs_of_entries(spark, tmp_path):
     linked(tmp_path, 900, 300)
     assert got(spark, "nearest_value", tmp_path) == wanted("nearest_value", tmp_path)
     assert joined_rows(catalogue.queries()["nearest_value"](spark, str(tmp_path))) < 30000
+
+
+def test_link_cascade_looks_up_once(spark, tmp_path):
+    linked(tmp_path, 900, 1600)
+    assert got(spark, "link_cascade", tmp_path) == wanted("link_cascade", tmp_path)
+    assert joined_rows(catalogue.queries()["link_cascade"](spark, str(tmp_path))) < 500000
