@@ -148,3 +148,27 @@ def test_link_cascade_looks_up_once(spark, tmp_path):
     linked(tmp_path, 900, 1600)
     assert got(spark, "link_cascade", tmp_path) == wanted("link_cascade", tmp_path)
     assert joined_rows(catalogue.queries()["link_cascade"](spark, str(tmp_path))) < 500000
+
+
+def test_containment_score_joins_lists(spark, tmp_path, monkeypatch):
+    from spanloom.operators import linking
+
+    linked(tmp_path, 900, 300)
+    want = wanted("containment_score", tmp_path)
+    assert got(spark, "containment_score", tmp_path) == want
+    assert joined_rows(catalogue.queries()["containment_score"](spark, str(tmp_path))) < len(want) / 100
+    for name, most in (("CELL_QUERIES", 8), ("CELL_ENTRIES", 20), ("PIECE", 3)):
+        monkeypatch.setattr(linking, name, most)
+    assert got(spark, "containment_score", tmp_path) == want
+
+
+def test_pair_scores_without_values(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import linking
+
+    q = spark.createDataFrame([(1, ["a", "b"], None), (2, ["b", "a"], 2.0), (3, ["b", "b", "c"], None), (4, ["z"], 1.0), (5, None, 1.0), (6, ["a", "b"], None), (7, [], 3.0)], "qid long, tokens array<string>, value double")
+    e = spark.createDataFrame([(1, "x", ["a"], None, 1, False), (2, "x", ["a", "b"], 2.0, 0, True), (3, "y", ["b", "a"], 2.0, 0, None), (4, "y", ["c"], 5.0, None, False), (5, "y", None, 1.0, 1, False), (6, "x", ["a"], None, 1, False)], "entry_id long, concept string, tokens array<string>, value double, prio int, suppressed boolean")
+    want = linking.score(q, e).select("qid", "entry_id", F.round("score", 9).alias("score"))
+    found = linking.pair_scores(q, e, lambda s: F.round(s, 9))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.count() == 15
